@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from graphloom.llm import decontaminate
+from graphloom.llm.decontaminate import op5_decontaminate
+from graphloom.llm.packing import op4_packing
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+}
