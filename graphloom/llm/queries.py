@@ -5,9 +5,11 @@ from __future__ import annotations
 from graphloom.llm import decontaminate
 from graphloom.llm.decontaminate import op5_decontaminate
 from graphloom.llm.packing import op4_packing
+from graphloom.llm.quality import op2_quality
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op9_simhash": op9_simhash,
