@@ -32,7 +32,7 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     Empty links give no rows. Each round ends in a reliable checkpoint, and stops once a round
     leaves the edges as they were; rounds grow with the logarithm of a component's size.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         edges = cut(_star(_star(edges, large=True), large=False))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate
+from graphloom.llm import decontaminate, pii
 from graphloom.llm.decontaminate import op5_decontaminate
 from graphloom.llm.packing import op4_packing
+from graphloom.llm.pii import op3_pii
 from graphloom.llm.quality import op2_quality
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_pii": pii.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
