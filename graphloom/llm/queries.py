@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from graphloom.llm import decontaminate, pii
 from graphloom.llm.decontaminate import op5_decontaminate
+from graphloom.llm.langid import op6_langid
 from graphloom.llm.packing import op4_packing
 from graphloom.llm.pii import op3_pii
 from graphloom.llm.quality import op2_quality
+from graphloom.llm.secret_scan import op10_secrets
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
@@ -14,7 +16,9 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_langid": op6_langid,
     "op9_simhash": op9_simhash,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
