@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphloom.llm import decontaminate, pii
 from graphloom.llm.decontaminate import op5_decontaminate
 from graphloom.llm.langid import op6_langid
+from graphloom.llm.media import op1_media
 from graphloom.llm.packing import op4_packing
 from graphloom.llm.pii import op3_pii
 from graphloom.llm.quality import op2_quality
@@ -12,6 +13,7 @@ from graphloom.llm.secret_scan import op10_secrets
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
