@@ -1,0 +1 @@
+"""No streaming operators: every algorithm here is a batch fixpoint over a whole graph."""
