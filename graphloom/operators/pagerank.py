@@ -33,7 +33,7 @@ def rank_epoch(
     how = strategy(how)
     share = state.filter("degree > 0").select("id", (F.col("score") / F.col("degree")).alias("share"))
     got = deliver(graph, share, rows, how, F.col("share"), F.sum, "got", start, end)
-    base = (1 - damping) / graph.num_nodes
+    base = (1 - damping) / max(graph.num_nodes, 1)
     new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
     both = state.select("id", "degree", "score").join(got, "id", "left")
     both = both.withColumn("new", F.when(in_range("id", start, end), new).otherwise(F.col("score")))

@@ -20,6 +20,7 @@ from graphloom.model import EDGE_SCHEMA, WEIGHTED_EDGE_SCHEMA, Graph
 from graphloom.operators.construct import csr_index
 
 HEAD = struct.Struct("<iq")
+HEAD_BYTES = 12
 ENTRY = {True: np.dtype([("v", "<i4"), ("w", "<f4")]), False: np.dtype([("v", "<i4")])}
 #: Entries in a split, in a batch that a reader yields, and ids in a step through the row starts.
 SPLIT, BATCH = 1 << 22, 1 << 16
@@ -36,11 +37,11 @@ def is_weighted(path: str) -> bool:
 def header(path: str) -> tuple[int, int]:
     """(N, E) of a file; ValueError if it is shorter than they say."""
     with open(path, "rb") as f:
-        raw = f.read(HEAD.size)
-    if len(raw) < HEAD.size:
+        raw = f.read(HEAD_BYTES)
+    if len(raw) < HEAD_BYTES:
         raise ValueError(f"{path}: no header")
     nodes, entries = HEAD.unpack(raw)
-    need = HEAD.size + 8 * (nodes + 1) + ENTRY[is_weighted(path)].itemsize * entries
+    need = HEAD_BYTES + 8 * (nodes + 1) + ENTRY[is_weighted(path)].itemsize * entries
     if nodes < 0 or entries < 0 or os.path.getsize(path) < need:
         raise ValueError(f"{path}: shorter than its header says")
     return nodes, entries
@@ -65,9 +66,9 @@ class CsrReader(DataSourceReader):
     def read(self, partition: Entries) -> Iterator[pa.RecordBatch]:
         if partition.first >= partition.stop:
             return
-        starts = np.memmap(self.path, "<i8", "r", HEAD.size, (self.nodes + 1,))
+        starts = np.memmap(self.path, "<i8", "r", HEAD_BYTES, (self.nodes + 1,))
         kind = ENTRY[self.weighted]
-        at = HEAD.size + 8 * (self.nodes + 1)
+        at = HEAD_BYTES + 8 * (self.nodes + 1)
         for first in range(partition.first, partition.stop, BATCH):
             stop = min(first + BATCH, partition.stop)
             low = int(np.searchsorted(starts, first, side="right")) - 1
@@ -128,11 +129,11 @@ def write_csr(graph: Graph, path: str) -> None:
     nodes, top, entries = index.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(-1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
     if top + 1 != nodes or nodes > 2**31 - 1:
         raise ValueError("ids must be 0 to N - 1, and N at most 2^31 - 1")
-    kind, at = ENTRY[weighted], HEAD.size + 8 * (nodes + 1)
+    kind, at = ENTRY[weighted], HEAD_BYTES + 8 * (nodes + 1)
     with open(path, "wb") as f:
         f.write(HEAD.pack(nodes, entries))
         f.truncate(at + kind.itemsize * entries)
-        f.seek(HEAD.size + 8 * nodes)
+        f.seek(HEAD_BYTES + 8 * nodes)
         f.write(struct.pack("<q", entries))
 
     def put(batches, places, size):
@@ -159,7 +160,7 @@ def write_csr(graph: Graph, path: str) -> None:
         return batch.column("position").to_numpy(), rows
 
     done = index.repartitionByRange("id").sortWithinPartitions("id")
-    done.mapInArrow(lambda b: put(b, starts, (HEAD.size, 8)), "n long").agg(F.sum("n")).collect()
+    done.mapInArrow(lambda b: put(b, starts, (HEAD_BYTES, 8)), "n long").agg(F.sum("n")).collect()
 
 
     order = Window.partitionBy("src").orderBy("dst")
