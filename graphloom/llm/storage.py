@@ -1,39 +1,5 @@
-"""Cut lineage through the folder that all executors share."""
+"""Lineage cuts and stage tables in the folder that all executors share."""
 
-from __future__ import annotations
+from graphloom.plans.storage import cut, ensure_checkpoint_dir, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset (tests, local runs) make a folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    context.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of its own under the shared checkpoint folder, read back."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+__all__ = ["cut", "ensure_checkpoint_dir", "written"]
