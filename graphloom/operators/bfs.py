@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.model import UNREACHED, Graph
 from graphloom.operators.construct import in_range
 from graphloom.plans.fixpoint import Epoch, iterate
-from graphloom.plans.strategies import SegmentPlan, Strategy, combine, deliver, strategy
+from graphloom.plans.strategies import SegmentPlan, Strategy, combine, deliver, meet, strategy
 
 DIRECTIONS = ("push", "pull")
 #: Fixed values of the direction rule: divisors of the edges left to check and of the vertices.
@@ -23,9 +23,13 @@ ALPHA, BETA = 15, 18
 
 def push_epoch(graph: Graph, visited: DataFrame, frontier: DataFrame, rows: int | None = None, how: str | Strategy = "broadcast") -> DataFrame:
     """(id, parent) of the vertices that the frontier's out-edges newly reach."""
-    how = strategy(how)
-    reached = deliver(graph, frontier.select("id"), rows, how, F.col("src"), F.min, "parent")
-    return reached.join(visited.select("id"), "id", "left_anti")
+    seen = visited.select("id", F.lit(True).alias("seen"))
+    return _pushed(graph, seen, frontier, rows, how).filter("seen is null").select("id", F.col("via").alias("parent"))
+
+
+def _pushed(graph: Graph, state: DataFrame, frontier: DataFrame, rows: int | None, how: str | Strategy) -> DataFrame:
+    """``state`` and new rows, with the least frontier neighbour as ``via``."""
+    return meet(state, deliver(graph, frontier.select("id"), rows, strategy(how), F.col("src"), F.min, "via"), F.min, "via")
 
 
 def pull_epoch(
@@ -51,7 +55,7 @@ def pull_epoch(
     if how.name == "broadcast" and rows is not None and rows <= how.broadcast_rows:
         sources = F.broadcast(sources)
     hit = open_.join(sources, "src", "left_semi")
-    return combine(hit, how, F.min("src"), F.min("parent"), "parent")
+    return combine(hit.select(F.col("dst").alias("id"), F.col("src").alias("parent")), F.min, "parent")
 
 
 class DirectionRule:
@@ -106,15 +110,19 @@ def bfs(
             way = rule.next(rows, int(known["out_edges"] or 0))
         else:
             way = direction if isinstance(direction, str) else direction[min(level, len(direction) - 1)]
-        frontier = state.filter("fresh")
-        found = (push_epoch if way == "push" else pull_epoch)(graph, state, frontier, rows, how)
-        found = found.select("id", "parent", F.lit(level + 1).cast("long").alias("depth"), F.lit(True).alias("fresh"))
-        if rule:
-            found = found.join(degrees, "id", "left")
-        old = state.withColumn("fresh", F.lit(False))
-        if rule:
-            old = old.withColumn("degree", F.lit(0).cast("long"))
-        return old.unionByName(found)
+        frontier, depth = state.filter("fresh"), F.lit(level + 1).cast("long")
+        if way == "push":
+            new = F.col("depth").isNull()
+            both = _pushed(graph, state.select("id", "parent", "depth"), frontier, rows, how)
+            both = both.select("id", F.coalesce("parent", "via").alias("parent"), F.coalesce("depth", depth).alias("depth"), new.alias("fresh"))
+        else:
+            found = pull_epoch(graph, state, frontier, rows, how).select("id", "parent", depth.alias("depth"), F.lit(True).alias("fresh"))
+            both = state.select("id", "parent", "depth", F.lit(False).alias("fresh")).unionAll(found)
+            both = both.coalesce(graph.partitions)  # a union adds up partitions, level after level
+        if rule is None:
+            return both
+        weights = degrees.withColumn("fresh", F.lit(True))  # only new rows count
+        return both.join(weights, ["id", "fresh"], "left").select("id", "parent", "depth", "fresh", "degree")
 
     metrics = {"rows": F.count_if("fresh")}
     first: dict[str, object] = {"rows": 1}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import Graph
 from graphloom.plans.fixpoint import Epoch, iterate
-from graphloom.plans.strategies import Strategy, deliver, strategy
+from graphloom.plans.strategies import Strategy, deliver, meet, strategy
 
 DAMPING, TOLERANCE, MAX_EPOCHS = 0.85, 5e-8, 201
 
@@ -32,10 +32,10 @@ def rank_epoch(
 
     how = strategy(how)
     share = state.filter("degree > 0").select("id", (F.col("score") / F.col("degree")).alias("share"))
-    got = deliver(graph, share, rows, how, F.col("share"), F.sum, "got", start, end)
+    sent = deliver(graph, share, rows, how, F.col("share"), F.sum, "got", start, end)
     base = (1 - damping) / max(graph.num_nodes, 1)
     new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
-    both = state.select("id", "degree", "score").join(got, "id", "left")
+    both = meet(state.select("id", "degree", "score"), sent, F.sum, "got").filter("score is not null")
     both = both.withColumn("new", F.when(in_range("id", start, end), new).otherwise(F.col("score")))
     moved = F.abs(F.col("new") - F.col("score")) > tol
     score = F.when(moved, F.col("new")).otherwise(F.col("score")) if freeze else F.col("new")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import INFINITE, Graph
 from graphloom.plans.fixpoint import Epoch, iterate
-from graphloom.plans.strategies import Strategy, deliver, strategy
+from graphloom.plans.strategies import Strategy, deliver, meet, strategy
 
 
 def relax_epoch(
@@ -20,15 +20,15 @@ def relax_epoch(
 ) -> DataFrame:
     """One relaxation of (id, dist, fresh): edges out of fresh vertices into [start, end).
 
-    ``fresh`` in the result marks what became smaller. Two shuffles at most: of the combined
-    messages, and of the state to meet them.
+    ``fresh`` in the result marks what became smaller. One shuffle, of messages and state, and
+    another of the fresh rows where they are too many to broadcast.
     """
     how = strategy(how)
-    best = deliver(graph, state.filter("fresh").select("id", "dist"), rows, how, F.col("dist") + F.col("w"), F.min, "new", start, end)
+    fresh = state.filter("fresh").select("id", "dist")
+    sent = deliver(graph, fresh, rows, how, F.col("dist") + F.col("w"), F.min, "new", start, end)
     smaller = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-    return state.join(best, "id", "full_outer").select(
-        "id", F.when(smaller, F.col("new")).otherwise(F.col("dist")).alias("dist"), smaller.alias("fresh")
-    )
+    best = F.when(smaller, F.col("new")).otherwise(F.col("dist"))
+    return meet(state.select("id", "dist"), sent, F.min, "new").select("id", best.alias("dist"), smaller.alias("fresh"))
 
 
 def sssp(

@@ -92,9 +92,10 @@ def deliver(
     start: int | None = None,
     end: int | None = None,
 ) -> DataFrame:
-    """(id, name): ``reduce`` over the ``message`` of every edge from ``values`` to each target.
+    """(id, name) rows: the ``message`` of every edge from ``values``, or partial reductions of them.
 
-    With a segment plan each range runs by its own strategy and one union has all of them.
+    ``meet`` or ``combine`` finishes them. With a segment plan each range runs by its own
+    strategy and one union has all of them.
     """
     if isinstance(how, SegmentPlan):
         parts = []
@@ -109,14 +110,26 @@ def deliver(
         for part in parts[1:]:
             out = out.unionAll(part)
         return out
-    sent = send(graph, values, rows, how, start, end).select("src", "dst", message.alias(name))
-    return combine(sent, how, reduce(name), reduce(name), name)
-
-
-def combine(messages: DataFrame, how: Strategy, aggregate: Column, again: Column, name: str) -> DataFrame:
-    """(id, name): ``aggregate`` of the messages to each target; ``again`` combines partial ones."""
+    sent = send(graph, values, rows, how, start, end).select("src", F.col("dst").alias("id"), message.alias(name))
     if how.name in ("salted", "partial_agg"):
         part = F.pmod(F.hash("src"), F.lit(how.salts))
-        first = messages.groupBy("dst", part.alias("_part")).agg(aggregate.alias(name))
-        return first.groupBy(F.col("dst").alias("id")).agg(again.alias(name))
-    return messages.groupBy(F.col("dst").alias("id")).agg(aggregate.alias(name))
+        sent = sent.groupBy("id", part.alias("_part")).agg(reduce(name).alias(name))
+    return sent.select("id", name)
+
+
+def combine(messages: DataFrame, reduce, name: str) -> DataFrame:
+    """(id, name): one row for each target."""
+    return messages.groupBy("id").agg(reduce(name).alias(name))
+
+
+def meet(state: DataFrame, messages: DataFrame, reduce, name: str) -> DataFrame:
+    """``state`` and ``name``, the reduction of the messages to each id; a row for each id in either.
+
+    A union and one aggregation in place of an aggregation and an outer join: messages and
+    state are combined where they are and cross one shuffle, which nothing has to sort.
+    """
+    rest = [c for c in state.columns if c != "id"]
+    kind = messages.schema[name].dataType
+    mine = state.select("id", *rest, F.lit(None).cast(kind).alias(name))
+    theirs = messages.select("id", *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in rest], name)
+    return mine.unionAll(theirs).groupBy("id").agg(*[F.max(c).alias(c) for c in rest], reduce(name).alias(name))
