@@ -28,6 +28,9 @@ SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Expected values in a shard above which shards get another block, and so more key bits.
 SHARD_VALUES = 4096
 
+#: Fingerprints that may be too frequent for one task: those of over this share of all rows.
+HOT = 1000
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -129,17 +132,29 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, blocks: int | None) -> DataFrame:
-    """(id, fp, root, component_id): root is a component's least fingerprint."""
+    """(id, fp, root, component_id): root is a component's least fingerprint.
+
+    The rows of a fingerprint with over 1/HOT of all rows are dealt over several tasks when
+    they meet their class; there are at most HOT such fingerprints.
+    """
     rows = cut(fingerprints(df, text_col, keep=[id_col]).toDF("id", "fp"))
-    least = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")))
+    least = cut(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    total = least.agg(F.sum("n")).first()[0] or 0
     nodes = connected_components(links(least.select("fp"), radius, blocks))
     members = nodes.withColumnRenamed("node", "fp").join(least, "fp")
     names = members.groupBy("root").agg(F.min("rep").alias("name"))
     named = members.select("fp", "root").join(names, "root")
     classes = least.join(named, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "rep").alias("component_id")
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "rep").alias("component_id")
     )
-    return rows.join(classes, "fp").select("id", "fp", "root", "component_id")
+    share = max(1, total // HOT)
+    hot = F.broadcast(least.filter(F.col("n") > share).select("fp", F.ceil(F.col("n") / share).cast("int").alias("ways")))
+    # The rows come from storage, so their numbers are the same if a task runs again.
+    salted = rows.withColumn("row", F.monotonically_increasing_id()).join(hot, "fp", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod("row", "ways"), F.lit(0)).cast("int"))
+    ways = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int") - 1)
+    spread = classes.withColumn("salt", F.explode(F.when(F.col("n") > share, ways).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread, ["fp", "salt"]).select("id", "fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
