@@ -65,13 +65,13 @@ class Graph:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        """``edges`` by hash of ``src``, cached and filled, so that joins on it move no edges."""
-        return self._kept(self.edges.repartition(self.partitions, "src"))
+        """``edges`` by hash of ``src`` and sorted by it, cached and filled: joins on it neither move nor sort edges."""
+        return self._kept(self.edges.repartition(self.partitions, "src").sortWithinPartitions("src"))
 
     @cached_property
     def prepared_by_target(self) -> DataFrame:
         """``edges`` by hash of ``dst``: pull steps then aggregate without a shuffle."""
-        return self._kept(self.edges.repartition(self.partitions, "dst"))
+        return self._kept(self.edges.repartition(self.partitions, "dst").sortWithinPartitions("dst"))
 
     def salted(self, hub_degree: int, salts: int) -> tuple[DataFrame, DataFrame]:
         """(entries with ``_salt`` by hash of source and salt, hubs as (src, _hub)), cached.

@@ -109,3 +109,29 @@ def test_benchmarks(spark):
         benchmarks.full(g, "nothing")
     assert benchmarks.gteps(4e9, 1000.0) == 2.0
     assert [r["scale"] for r in benchmarks.graph_sizes(spark, [3])] == [3]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.plans import cli
+    from graphloom.sources.profiles import read_schedule, to_yaml
+
+    def save(name, device, kernel, times):
+        rows_ = [
+            {"start_id": i, "end_id": i + 1, "avg_degree": 1.0, "min_degree": 1.0, "max_degree": 1.0, "num_edges": 1, "millisecs": t, "gteps": 1.0, "device_name": device, "kernel_name": kernel}
+            for i, t in enumerate(times)
+        ]
+        (tmp_path / name).write_text(to_yaml(rows_))
+
+    save("a.yaml", "CPU A", "plain", [1.0, 9.0, 9.0])
+    save("b.yaml", "NVIDIA B", "warp 64 1024", [9.0, 2.0, 2.0])
+    out = tmp_path / "s.skd"
+    assert cli.main(["sssp", str(tmp_path / "[ab].yaml"), "-d", "CPU A=1", "-d", "NVIDIA B=1", "-o", str(out)]) == 0
+    assert read_schedule(str(out)) == [("CPU A", [(0, 0, "plain")]), ("NVIDIA B", [(1, 2, "warp 64 1024")])]
+    save("epoch0_bfs_cpu_push_x.yaml", "CPU A", "by node", [0.5])
+    save("epoch0_bfs_gpu_x.yaml", "NVIDIA B", "warp 64 1024", [3.0, 3.0])
+    save("epoch0_bfs_cpu_pull.yaml", "CPU A", "pull", [4.0, 4.0])
+    assert cli.main(["bfs", str(tmp_path / "epoch*.yaml"), "-d", "CPU A=1", "-d", "NVIDIA B=1", "-o", str(out)]) == 0
+    assert read_schedule(str(tmp_path / "s0.skd"))[0] == ("CPU A", [(0, 1, "by node")])
+    assert "push" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        cli.device_counts(["CPU"])
