@@ -9,7 +9,7 @@ from graphloom.llm.packing import pack
 from graphloom.llm.pii import sanitise
 from graphloom.llm.quality import keep_good
 from graphloom.llm.simhash import keep_one
-from graphloom.llm.storage import written
+from graphloom.llm.storage import drop_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's result is written to shared storage and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), name)
+        if i:
+            drop_written(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
