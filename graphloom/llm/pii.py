@@ -35,6 +35,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 256
+#: Distinct candidate terms that may be broadcast; a term is a word near an entity, of 2 * CONTEXT_CHARS at most.
+BROADCAST_TERMS = 200_000
 
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
@@ -164,7 +166,11 @@ def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int,
     n_e = found.filter(F.size("near") > 0).select(entity.alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     seen = cut(seen.filter(F.col("contexts") >= min_contexts).join(n_e, "e"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(quoted(text_col)).cast("string")), F.lit(WORD), F.lit(0)))
-    n_t = df.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    words = df.select(F.explode(words).alias("t"))
+    terms = seen.select("t").distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(terms), "t", "left_semi")  # else each word's count crosses a shuffle
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
     known = seen.join(n_t, "t")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     share = F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
