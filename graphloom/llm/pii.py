@@ -34,7 +34,9 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK = 256
+BLOCK, CHUNK = 256, 4096
+#: A private-use character that stands for a protected one; it counts as part of a word.
+MASK = "\ue000"
 #: Distinct candidate terms that may be broadcast; a term is a word near an entity, of 2 * CONTEXT_CHARS at most.
 BROADCAST_TERMS = 200_000
 
@@ -113,13 +115,60 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base", F.concat(*parts)).drop(*[f"_m_{kind}" for kind in KINDS])
 
 
-def _context(text: Column, base: Column, chars: int) -> Column:
-    """array<struct<e,t,context,start,end>>: the words near each base span that are in none."""
+def _chunks(text: Column) -> Column:
+    """``text`` in parts of CHUNK code points, so that a cut from it does not scan it from the start."""
+    last = F.floor((F.length(text) - 1) / CHUNK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.length(text) > 0, parts).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start``, CHUNK at most."""
+    at = F.floor(start / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substring(two, start - at * CHUNK + 1, length)
+
+
+def _rewritten(chunks: Column, marks: Column, put) -> Column:
+    """``chunks`` with ``put(own, mark, first)`` in place of marked text; ``marks`` are sorted by start.
+
+    ``own`` is what of the mark is in this chunk and in no earlier mark; ``first`` says that the
+    mark starts here, outside any earlier one.
+    """
+
+    def chunk(c: Column, i: Column) -> Column:
+        low, high = i * CHUNK, (i + 1) * CHUNK
+
+        def step(a: Column, m: Column) -> Column:
+            start = F.greatest(m["start"], a["pos"])
+            stop = F.greatest(F.least(m["end"], high), a["pos"])
+            gap = F.substring(c, a["pos"] - low + 1, start - a["pos"])
+            own = F.substring(c, start - low + 1, stop - start)
+            first = (m["start"] >= low) & (m["start"] >= a["pos"])
+            return F.struct(stop.alias("pos"), F.concat(a["out"], gap, put(own, m, first)).alias("out"))
+
+        near = F.filter(marks, lambda m: (m["start"] < high) & (m["end"] > low))
+        start = F.struct(low.alias("pos"), F.lit("").alias("out"))
+        return F.aggregate(near, start, step, lambda a: F.concat(a["out"], F.substring(c, a["pos"] - low + 1, F.lit(CHUNK))))
+
+    return F.transform(chunks, chunk)
+
+
+def _masked(chunks: Column, base: Column) -> Column:
+    """``chunks`` of the same length in which base spans have MASK for each character of a word."""
+    marks = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return _rewritten(chunks, marks, lambda own, m, first: F.regexp_replace(own, WORD[:-1], MASK))
+
+
+def _context(chunks: Column, masked: Column, base: Column, chars: int) -> Column:
+    """array<struct<e,t,context,start,end>>: the words near each base span that touch none.
+
+    ``context`` is a hash of the text around the span.
+    """
 
     def near(span: Column) -> Column:
         first = F.greatest(span["start"] - chars, F.lit(0))
-        left = F.substring(text, first + 1, span["start"] - first)
-        right = F.substring(text, span["end"] + 1, F.lit(chars))
+        left, right = _cut(chunks, first, span["start"] - first), _cut(chunks, span["end"], F.lit(chars))
         stop = span["end"] + F.length(right)
         entity = F.concat_ws(
             ":", span["kind"].cast("string"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"]))
@@ -132,18 +181,17 @@ def _context(text: Column, base: Column, chars: int) -> Column:
             return F.transform(
                 placed,
                 lambda w: F.struct(
-                    entity.alias("e"), F.lower(w["value"]).alias("t"), F.concat(left, F.lit("\n"), right).alias("context"),
+                    entity.alias("e"), F.lower(w["value"]).alias("t"), F.xxhash64(left, right).alias("context"),
                     (w["start"] + at).alias("start"), (w["end"] + at).alias("end"),
                 ),
             )
 
-        # A word that the window's outer edge may have cut is left out.
-        both = F.concat(words(left, first), words(right, span["end"]))
-        whole = lambda w: ((w["start"] > first) | (first == 0)) & ((w["end"] < stop) | (F.length(right) < chars))
+        both = F.concat(words(_cut(masked, first, span["start"] - first), first), words(_cut(masked, span["end"], F.lit(chars)), span["end"]))
+        # A word that the window's outer edge may have cut is left out, and one that a span touches.
+        whole = lambda w: ((w["start"] > first) | (first == 0)) & ((w["end"] < stop) | (F.length(right) < chars)) & ~F.contains(w["t"], F.lit(MASK))
         return F.filter(both, whole)
 
-    free = lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.filter(F.flatten(F.transform(base, near)), free)
+    return F.flatten(F.transform(base, near))
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,9 +229,14 @@ def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int,
 
 def _analysis(df: DataFrame, id_col: str, text_col: str, context_chars: int, min_contexts: int, generalise_at: float, remove_at: float):
     """(found, added): a row (row, k, h, base, near) for each of ``df``, and (k, h, added) of some."""
+    if not 0 < context_chars <= CHUNK:
+        raise ValueError(f"a context has 1 to {CHUNK} characters")
     rows = base_spans(_rows(df, id_col, text_col), "t")
-    none = F.expr("cast(array() as array<struct<e:string,t:string,context:string,start:int,end:int>>)")
-    near = F.when(F.size("base") > 0, _context(F.col("t"), F.col("base"), context_chars)).otherwise(none)
+    none = F.expr("cast(array() as array<struct<e:string,t:string,context:bigint,start:int,end:int>>)")
+    rows = rows.withColumn("chunks", F.when(F.size("base") > 0, _chunks(F.col("t"))))
+    rows = rows.withColumn("masked", F.when(F.size("base") > 0, _masked(F.col("chunks"), F.col("base"))))
+    near = _context(F.col("chunks"), F.col("masked"), F.col("base"), context_chars)
+    near = F.when(F.size("base") > 0, near).otherwise(none)
     found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "k", "h", "base", near.alias("near")))
     flagged = revealing(df, text_col, found, min_contexts, generalise_at, remove_at)
     spots = found.filter(F.size("near") > 0).select("k", "h", F.explode("near").alias("w")).select("k", "h", "w.e", "w.t", "w.start", "w.end")
@@ -227,22 +280,14 @@ def redact(text: Column, base: Column, added: Column) -> Column:
     """``text`` with base spans as [KIND], generalised terms as [NUMBER] or [WORD], others gone."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     marks = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("put")))
+    terms = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("put")))
 
-    def term(s: Column) -> Column:
-        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        put = F.when(s["action"] == "remove", "").when(own.rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), put.alias("put"))
-
-    marks = F.array_sort(F.concat(marks, F.transform(added, term)))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), s["put"])
-        free = s["start"] >= a["pos"]
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(free, gap).otherwise(a["out"]).alias("out"))
+    def put(own: Column, m: Column, first: Column) -> Column:
+        term = F.when(m["put"] == "remove", "").when(own.rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
+        return F.when(~first, "").when(m["put"].isin("remove", "generalise"), term).otherwise(m["put"])
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(marks, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
-    return F.when(F.size(marks) > 0, done).otherwise(text)
+    done = F.array_join(_rewritten(_chunks(text), F.array_sort(F.concat(marks, terms)), put), "")
+    return F.when(F.size(base) > 0, done).otherwise(text)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
