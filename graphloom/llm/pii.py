@@ -9,6 +9,10 @@ with counts of documents over the whole corpus: ``n(e)`` mention the entity, ``n
 term anywhere, ``n(t, e)`` have it in the entity's context. A term seen with the entity in at
 least ``min_contexts`` different contexts (so that copies of one text prove nothing) is
 generalised from one threshold on and removed from another. Base spans always stay.
+
+With ``whole``, which ``sanitise`` uses, ``n(t, e)`` counts whole documents that mention the entity
+and hold the term, and a term over a threshold is marked wherever it occurs in any text. Without
+it, as the SQL of ``op3_pii`` has it, both are limited to the entity's context.
 """
 
 from __future__ import annotations
@@ -170,9 +174,7 @@ def _context(chunks: Column, masked: Column, base: Column, chars: int) -> Column
         first = F.greatest(span["start"] - chars, F.lit(0))
         left, right = _cut(chunks, first, span["start"] - first), _cut(chunks, span["end"], F.lit(chars))
         stop = span["end"] + F.length(right)
-        entity = F.concat_ws(
-            ":", span["kind"].cast("string"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"]))
-        )
+        entity = _entity(span)
 
         def words(part: Column, at: Column) -> Column:
             found = F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
@@ -194,6 +196,14 @@ def _context(chunks: Column, masked: Column, base: Column, chars: int) -> Column
     return F.flatten(F.transform(base, near))
 
 
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, h, t): id, hash and text of each row; rows that share id and text share their spans."""
     text = F.col(quoted(text_col)).cast("string")
@@ -203,6 +213,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
     """(e, t, disclosure, action) of the terms over the thresholds; ``found`` has base and near.
 
+    If it also has each text's ``keys`` (entities) and ``words``, n(t, e) counts whole texts.
+
     Everything is counted over the whole corpus with map-side partial aggregates: no list of a
     term's or an entity's documents is ever made.
     """
@@ -210,14 +222,20 @@ def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int,
     pair = F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["e"].alias("e"), w["t"].alias("t"), w["context"].alias("c")))))
     pairs = found.filter(F.size("near") > 0).select("row", pair.alias("p")).select("row", "p.e", "p.t", "p.c")
     seen = pairs.groupBy("e", "t").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("row").alias("n_te"))
-    entity = F.explode(F.array_distinct(F.transform("near", lambda w: w["e"])))
-    n_e = found.filter(F.size("near") > 0).select(entity.alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    whole = "keys" in found.columns
+    mentions = F.col("keys") if whole else F.array_distinct(F.transform("near", lambda w: w["e"]))
+    n_e = found.filter(F.size("base" if whole else "near") > 0).select(F.explode(mentions).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     seen = cut(seen.filter(F.col("contexts") >= min_contexts).join(n_e, "e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(quoted(text_col)).cast("string")), F.lit(WORD), F.lit(0)))
-    words = df.select(F.explode(words).alias("t"))
+    words = df.select(F.explode(_words(F.col(quoted(text_col)).cast("string"))).alias("t"))
     terms = seen.select("t").distinct()
-    if terms.count() <= BROADCAST_TERMS:
+    few = terms.count() <= BROADCAST_TERMS
+    if few:
         words = words.join(F.broadcast(terms), "t", "left_semi")  # else each word's count crosses a shuffle
+    if whole:
+        held = found.filter(F.size("base") > 0).select("keys", F.explode("words").alias("t"))
+        held = held.join(F.broadcast(terms), "t", "left_semi") if few else held
+        held = held.select("t", F.explode("keys").alias("e")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
+        seen = seen.drop("n_te").join(held, ["e", "t"])
     n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
     known = seen.join(n_t, "t")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
@@ -227,8 +245,13 @@ def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int,
     return known.filter(F.col("disclosure") >= generalise_at).select("e", "t", "disclosure", action.alias("action"))
 
 
-def _analysis(df: DataFrame, id_col: str, text_col: str, context_chars: int, min_contexts: int, generalise_at: float, remove_at: float):
-    """(found, added): a row (row, k, h, base, near) for each of ``df``, and (k, h, added) of some."""
+def _analysis(
+    df: DataFrame, id_col: str, text_col: str, context_chars: int, min_contexts: int, generalise_at: float, remove_at: float, whole: bool = False
+):
+    """(found, added): a row (row, k, h, base, near) for each of ``df``, and (k, h, added) of some.
+
+    With ``whole``, ``added`` has (k, h, hits) instead: the flagged words of each text and their actions.
+    """
     if not 0 < context_chars <= CHUNK:
         raise ValueError(f"a context has 1 to {CHUNK} characters")
     rows = base_spans(_rows(df, id_col, text_col), "t")
@@ -237,22 +260,49 @@ def _analysis(df: DataFrame, id_col: str, text_col: str, context_chars: int, min
     rows = rows.withColumn("masked", F.when(F.size("base") > 0, _masked(F.col("chunks"), F.col("base"))))
     near = _context(F.col("chunks"), F.col("masked"), F.col("base"), context_chars)
     near = F.when(F.size("base") > 0, near).otherwise(none)
-    found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "k", "h", "base", near.alias("near")))
+    more = []
+    if whole:
+        keys = F.array_distinct(F.transform("base", _entity))
+        more = [keys.alias("keys"), F.when(F.size("base") > 0, _words(F.array_join("masked", ""))).alias("words")]
+    found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "k", "h", "base", near.alias("near"), *more))
     flagged = revealing(df, text_col, found, min_contexts, generalise_at, remove_at)
+    if whole:
+        return found, _hits(_rows(df, id_col, text_col), cut(flagged.groupBy("t").agg(F.max("action").alias("action"))))
     spots = found.filter(F.size("near") > 0).select("k", "h", F.explode("near").alias("w")).select("k", "h", "w.e", "w.t", "w.start", "w.end")
     hits = spots.join(flagged, ["e", "t"]).groupBy("k", "h", "start", "end").agg(F.max("action").alias("action"))
     added = hits.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
     return found, added
 
 
+def _hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(k, h, hits): the words of each text that are among ``terms`` (t, action), wherever they are."""
+    words = rows.select("k", "h", F.explode(_words(F.col("t"))).alias("t"))
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    return words.join(terms, "t").groupBy("k", "h").agg(F.collect_set(F.struct("t", "action")).alias("hits"))
+
+
+def _occurrences(text: Column, base: Column, hits: Column) -> Column:
+    """array<struct<start,end,action>>: the places in ``text`` of the words in ``hits`` that touch no base span."""
+    masked = F.when(F.size(base) > 0, F.array_join(_masked(_chunks(text), base), "")).otherwise(text)
+    action = F.map_from_entries(hits)
+    found = F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))
+    placed = F.filter(_places(masked, WORD, found), lambda w: F.map_contains_key(action, F.lower(w["value"])))
+    added = F.transform(placed, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(action, F.lower(w["value"])).alias("action")))
+    return F.when(F.size(hits) > 0, added).otherwise(F.expr(NO_ADDED))
+
+
 NO_ADDED = "cast(array() as array<struct<start:int,end:int,action:string>>)"
 
 
-def _with_added(rows: DataFrame, added: DataFrame) -> DataFrame:
+def _with_added(rows: DataFrame, added: DataFrame, text: str | None = None) -> DataFrame:
+    """``rows`` and their spans ``added``; those of (k, h, hits) are found in the column ``text``."""
     key = lambda c: F.coalesce(F.col(c), F.lit(""))
-    added = added.select(key("k").alias("_k"), F.col("h").alias("_h"), "added")
+    added = added.select(key("k").alias("_k"), F.col("h").alias("_h"), added.columns[-1])
     rows = rows.withColumn("_k", key("k")).withColumn("_h", F.col("h"))
-    return rows.join(added, ["_k", "_h"], "left").withColumn("added", F.coalesce("added", F.expr(NO_ADDED))).drop("_k", "_h")
+    rows = rows.join(added, ["_k", "_h"], "left")
+    if text:
+        rows = rows.withColumn("added", _occurrences(F.col(text), F.col("base"), F.col("hits"))).drop("hits")
+    return rows.withColumn("added", F.coalesce("added", F.expr(NO_ADDED))).drop("_k", "_h")
 
 
 def personal_data(
@@ -263,16 +313,18 @@ def personal_data(
     min_contexts: int = MIN_CONTEXTS,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
+    whole: bool = False,
 ) -> DataFrame:
     """(id, base, added) for each row: base spans, and terms to generalise or remove.
 
     Offsets are code points, end exclusive. Null and empty texts have no spans. Rows that share
     id and text share their spans, each row counting for itself; ids may be null. An empty
-    table gives no rows.
+    table gives no rows. ``whole`` marks a revealing term in every text and not only in the
+    contexts of its entity.
     """
-    found, added = _analysis(df, id_col, text_col, context_chars, min_contexts, generalise_at, remove_at)
+    found, added = _analysis(df, id_col, text_col, context_chars, min_contexts, generalise_at, remove_at, whole)
     kind = df.schema[id_col].dataType
-    out = _with_added(found, added)
+    out = _with_added(base_spans(_rows(df, id_col, text_col), "t"), added, "t") if whole else _with_added(found, added)
     return out.select(F.col("k").cast(kind).alias("k"), "base", "added").toDF(id_col, "base", "added")
 
 
@@ -287,31 +339,29 @@ def redact(text: Column, base: Column, added: Column) -> Column:
         return F.when(~first, "").when(m["put"].isin("remove", "generalise"), term).otherwise(m["put"])
 
     done = F.array_join(_rewritten(_chunks(text), F.array_sort(F.concat(marks, terms)), put), "")
-    return F.when(F.size(base) > 0, done).otherwise(text)
+    return F.when((F.size(base) > 0) | (F.size(added) > 0), done).otherwise(text)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with every span of its text redacted; all rows and columns are kept.
 
     ``length_col``, where there is one, becomes the new length of a text that has changed.
-    Texts without base spans pass through unread by the join with the added spans.
+    A revealing term goes from every text that holds it, whether or not the entity is there too.
     """
     columns = df.columns
-    _, added = _analysis(df, id_col, text_col, CONTEXT_CHARS, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT)
+    _, added = _analysis(df, id_col, text_col, CONTEXT_CHARS, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT, whole=True)
     at = columns.index(text_col)
     tagged = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     tagged = tagged.withColumn("k", F.col(f"c{columns.index(id_col)}").cast("string")).withColumn("h", F.xxhash64(F.col(f"c{at}").cast("string")))
-    tagged = base_spans(tagged, f"c{at}")
-    clean = tagged.filter(F.size("base") == 0)
-    dirty = _with_added(tagged.filter(F.size("base") > 0), added)
-    dirty = dirty.withColumn("new", redact(F.col(f"c{at}"), F.col("base"), F.col("added")))
+    tagged = _with_added(base_spans(tagged, f"c{at}"), added, f"c{at}")
+    changed = (F.size("base") > 0) | (F.size("added") > 0)
+    tagged = tagged.withColumn("new", redact(F.col(f"c{at}"), F.col("base"), F.col("added")))
     out = {f"c{i}": F.col(f"c{i}") for i in range(len(columns))}
     out[f"c{at}"] = F.col("new")
     if length_col in columns:
         n = f"c{columns.index(length_col)}"
-        out[n] = F.length("new").cast(tagged.schema[n].dataType)
-    dirty = dirty.select(*[v.alias(k) for k, v in out.items()])
-    return clean.select(*out).unionAll(dirty).toDF(*columns)
+        out[n] = F.when(changed, F.length("new").cast(tagged.schema[n].dataType)).otherwise(F.col(n))
+    return tagged.select(*[v.alias(k) for k, v in out.items()]).toDF(*columns)
 
 
 def digest(base: Column) -> Column:

@@ -155,3 +155,17 @@ def test_query_digest(spark):
 def test_many_spans_in_one_text(spark, text):
     out = pii.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert out.text == "[EMAIL] " * 3000
+
+
+def test_sanitise_takes_a_revealing_term_from_every_text(spark):
+    far = "ann@corp.example.com " + "filler " * 40 + "Bluebird again"
+    rows = leaks() + [(2000, "a bluebird alone, no address; BLUEBIRD!"), (2001, far), (2002, "bluebirds stay")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not [i for i, t in out.items() if re.search(r"\bbluebird\b", t or "", re.I)]
+    assert out[2002] == "bluebirds stay" and out[7] is None and out[8] == ""
+    found = {r.doc_id: r.added for r in pii.personal_data(df, whole=True).collect()}
+    text = dict(rows)
+    assert [text[2000][s["start"] : s["end"]] for s in found[2000]] == ["bluebird", "BLUEBIRD"]
+    assert [text[2001][s["start"] : s["end"]] for s in found[2001]] == ["Bluebird"]
+    assert found[10] and found[11] and not found[100]
