@@ -11,8 +11,10 @@ least ``min_contexts`` different contexts (so that copies of one text prove noth
 generalised from one threshold on and removed from another. Base spans always stay.
 
 With ``whole``, which ``sanitise`` uses, ``n(t, e)`` counts whole documents that mention the entity
-and hold the term, and a term over a threshold is marked wherever it occurs in any text. Without
-it, as the SQL of ``op3_pii`` has it, both are limited to the entity's context.
+and hold the term, and a term over a threshold is marked wherever it occurs in any text. It also
+counts each entity's class (an address' domain, a network, a number's prefix) as an entity, as most
+values are mentioned too seldom to be estimated; there different texts count as contexts. Without
+it, as the SQL of ``op3_pii`` has it, both are limited to single values and their contexts.
 """
 
 from __future__ import annotations
@@ -200,6 +202,18 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
+def _class(e: Column) -> Column:
+    """The class of an entity: e-mail domain, 24-bit network, first six card digits, all but a phone's last four."""
+    kind, value = F.substring(e, 1, 1), F.substring(e, 3, F.length(e))
+    name = (
+        F.when(kind == "0", F.regexp_replace(value, "^[^@]*", ""))
+        .when(kind == "1", F.regexp_replace(value, "[0-9]+$", ""))
+        .when(kind == "2", F.substring(value, 1, 6))
+        .otherwise(F.substring(value, F.lit(1), F.length(value) - 4))
+    )
+    return F.concat_ws(":", F.lit("class"), kind, name)
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
@@ -219,7 +233,10 @@ def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int,
     term's or an entity's documents is ever made.
     """
     total = found.count()
-    pair = F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["e"].alias("e"), w["t"].alias("t"), w["context"].alias("c")))))
+    pair = F.transform("near", lambda w: F.struct(w["e"].alias("e"), w["t"].alias("t"), w["context"].alias("c")))
+    if "keys" in found.columns:
+        pair = F.concat(pair, F.transform("near", lambda w: F.struct(_class(w["e"]).alias("e"), w["t"].alias("t"), F.col("h").alias("c"))))
+    pair = F.explode(F.array_distinct(pair))
     pairs = found.filter(F.size("near") > 0).select("row", pair.alias("p")).select("row", "p.e", "p.t", "p.c")
     seen = pairs.groupBy("e", "t").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("row").alias("n_te"))
     whole = "keys" in found.columns
@@ -262,7 +279,8 @@ def _analysis(
     near = F.when(F.size("base") > 0, near).otherwise(none)
     more = []
     if whole:
-        keys = F.array_distinct(F.transform("base", _entity))
+        keys = F.transform("base", _entity)
+        keys = F.array_distinct(F.concat(keys, F.transform(keys, _class)))
         more = [keys.alias("keys"), F.when(F.size("base") > 0, _words(F.array_join("masked", ""))).alias("words")]
     found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "k", "h", "base", near.alias("near"), *more))
     flagged = revealing(df, text_col, found, min_contexts, generalise_at, remove_at)

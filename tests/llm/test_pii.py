@@ -169,3 +169,15 @@ def test_sanitise_takes_a_revealing_term_from_every_text(spark):
     assert [text[2000][s["start"] : s["end"]] for s in found[2000]] == ["bluebird", "BLUEBIRD"]
     assert [text[2001][s["start"] : s["end"]] for s in found[2001]] == ["Bluebird"]
     assert found[10] and found[11] and not found[100]
+
+
+def test_a_term_reveals_entities_that_are_mentioned_once(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"filler{rng.randrange(200)}" for _ in range(n))
+    rows = [(i, f"{words(5)} Kestrel {words(2)} u{i}@nest.example.org {words(4)}") for i in range(4)]
+    rows += [(10 + i, f"{words(5)} Plover {words(2)} 10.20.30.{i} {words(4)}") for i in range(4)]
+    rows += [(20 + i, f"{words(5)} Dunlin {words(2)} +1 743 555 000{i} {words(4)}") for i in range(4)]
+    rows += [(30 + i, "one text Siskin u@copy.example.net") for i in range(5)] + [(100 + i, words(24)) for i in range(300)]
+    out = {r.doc_id: r.text.lower() for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(w in t for t in out.values() for w in ("kestrel", "plover", "dunlin"))
+    assert all("siskin" in out[30 + i] for i in range(5))  # copies of one text
