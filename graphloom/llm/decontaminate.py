@@ -92,7 +92,7 @@ FIELDS = [
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int):
     """The items in shards of at most ``shard_bytes``, pulled one partition at a time."""
     rows = benchmark.select(F.col(quoted(item_col)).cast("string"), F.col(quoted(text_col)).cast("string"))
-    rows = rows.filter(F.col(rows.columns[0]).isNotNull() & F.col(rows.columns[1]).isNotNull()).toDF("item", "text")
+    rows = rows.toDF("item", "text").filter(F.col("text").isNotNull())
     shard, size = [], 0
     for item, text in rows.toLocalIterator():
         data = text.encode("utf-8")
@@ -117,7 +117,8 @@ def contamination(
     """``df``'s columns ``keep``, then n_words, n_hit, items (sorted as strings) and spans.
 
     A word inside any occurrence of any window counts once in ``n_hit``. Null and word-less
-    texts have no words and no hits. Items without id or words have no windows; an empty
+    texts have no words and no hits. Items without words have no windows; those without id are one
+    null at the end of items, as in the SQL. An empty
     benchmark hits nothing. Repeated items and rows are kept as they are. Only the benchmark
     is broadcast, as its shards; each worker holds one automaton, of ``shard_bytes`` at most,
     and with several shards builds them in turn for each batch, so memory stays bounded.
@@ -140,7 +141,8 @@ def contamination(
             for text, found in zip(data, hits, strict=True):
                 ranges = merged([(a, b) for a, b, _ in found])
                 n_hit.append(sum(b - a + 1 for a, b in ranges))
-                items.append(sorted(set().union(*[s for _, _, s in found])))
+                names = set().union(*[s for _, _, s in found])
+                items.append(sorted(names - {None}) + [None] * (None in names))
                 spans.append(offsets(text.decode("utf-8"), ranges) if ranges else [])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             return [

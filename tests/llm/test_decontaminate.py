@@ -1,6 +1,10 @@
 import hashlib
 import re
 
+import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
+
 from graphloom.llm import decontaminate as d
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -67,3 +71,20 @@ def test_drop_keeps_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "short item", 5, "a"), (2, "clean", 6, "b")], "doc_id long, text string, n_hit int, spans string")
     kept = d.drop_contaminated(df, spark.createDataFrame(ITEMS[:2], "item_id long, text string"))
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 6, "b")]
+
+
+def test_items_without_id_count_as_in_sql(spark):
+    items = [(None, "Short item"), (None, LONG), (7, LONG)]
+    docs = [(1, "a short item"), (2, LONG), (3, "clean text")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"}))
+    want = con.sql(d.ORACLE_SQL).fetchall()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = d.contamination(df, bench, keep=["doc_id"])
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), None, r.n_hit > 0) for r in found.collect()]
+    assert [r[1:4] for r in got] == [(3, 2, 1), (25, 25, 2), (2, 0, 0)]
+    digest = found.select("doc_id", F.sha2(F.array_join("items", ","), 256)).collect()
+    assert sorted((r[0], *g[1:4], r[1], g[5]) for r, g in zip(digest, got)) == sorted(want)
+    assert [r.doc_id for r in d.drop_contaminated(df, bench).collect()] == [3]
