@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # a leftmost run of 24 or more is the whole run
+#: What a text with a base finding holds, in Java's syntax.
+HIT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 HINTS = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"[\w+/-]+|[^\s\w+/-]+|\n")
@@ -314,14 +316,14 @@ def fit(rows: list[tuple[list[int], list[int], int]], table: list[tuple[int, ...
 
 
 def train(df: DataFrame, text_col: str = "text", max_with: int = MAX_WITH, max_without: int = MAX_WITHOUT) -> Field:
-    """Fit on segments of at most ``max_with`` texts that a base pattern may match and ``max_without`` others.
+    """Fit on segments of at most ``max_with`` texts that a base pattern matches and ``max_without`` others.
 
     Both samples are those of the least text hashes, so a run gives the same field every time.
     Executors turn the texts into shapes; the driver gets at most MAX_SEGMENTS short lists of
     numbers for each.
     """
     texts = df.select(F.col(quoted(text_col)).cast("string").alias("t")).filter(F.length("t") > 0)
-    texts = texts.withColumn("h", F.xxhash64("t")).withColumn("hit", F.col("t").rlike("(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}"))
+    texts = texts.withColumn("h", F.xxhash64("t")).withColumn("hit", F.col("t").rlike(HIT))
     heads = texts.select("h", "hit")
     take = lambda hit, n: heads.filter(F.col("hit") == hit).select("h").distinct().orderBy("h").limit(n)
     chosen = texts.join(F.broadcast(take(True, max_with).unionAll(take(False, max_without))), "h").select("h", "t")  # max_with + max_without numbers
