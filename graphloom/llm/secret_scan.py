@@ -215,12 +215,25 @@ class Tagger:
             yield i, spans
 
 
+def _outside(span: tuple[int, int], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``span`` that lie in none of ``base``, which is sorted by start."""
+    (start, end), out = span, []
+    for a, b in base:
+        if a < end and b > start:
+            out.append((start, a))
+            start = b
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
+
+
 def find(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of each text, kind 3 for what only the field finds, by start and kind."""
+    """(start, kind, end) of each text, kind 3 for what only the field finds, by start and kind.
+
+    Of a field span that overlaps base spans, the parts outside them count.
+    """
     out = [base_spans(t) for t in texts]
     for i, spans in tagger.tag(texts):
         base = [(a, b) for a, _, b in out[i]]
-        more = [(a, 3, b) for a, b in spans if b - a >= MIN_CHARS and not any(s < b and a < e for s, e in base)]
+        more = [(a, 3, b) for span in spans for a, b in _outside(span, base) if b - a >= MIN_CHARS]
         out[i] = sorted(out[i] + more)
     return out
 

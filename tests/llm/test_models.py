@@ -184,3 +184,13 @@ def test_field_learns_where_many_texts_only_name_secrets(spark):
     assert field.files[:, 0].max() < 10  # one that tags nothing has -NEVER
     hit = spark.createDataFrame([(t,) for t, in prose[:5] + real[:5]], "t string").select(F.col("t").rlike(secret_scan.HIT)).collect()
     assert [r[0] for r in hit] == [False] * 5 + [True] * 5
+
+
+def test_parts_of_field_spans_beyond_base_spans_stay():
+    class Fixed:
+        def tag(self, texts):
+            yield 0, [(11, len(texts[0]))]
+
+    text = "password = hunter2!Extra#9999"
+    assert secret_scan.find(Fixed(), [text]) == [[(0, 0, 18), (18, 3, len(text))]]
+    assert secret_scan.find(Fixed(), [text[:22]]) == [[(0, 0, 18)]]
