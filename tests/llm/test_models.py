@@ -180,7 +180,7 @@ def test_secrets_odd_tables(spark):
 def test_field_learns_where_many_texts_only_name_secrets(spark):
     prose = [(f"the token of row {i} is no secret, and a password is a word",) for i in range(400)]
     real = [(f"row {i}\npassword = 'hunter{i * 7919}x'\nend",) for i in range(40)]
-    field = secret_scan.train(spark.createDataFrame(prose + real, "text string"), max_with=20, max_without=20)
+    field = secret_scan.train(spark.createDataFrame(prose + real, "text string"), max_with=3, max_without=20)  # the least three hashes are prose
     assert field.files[:, 0].max() < 10  # one that tags nothing has -NEVER
     hit = spark.createDataFrame([(t,) for t, in prose[:5] + real[:5]], "t string").select(F.col("t").rlike(secret_scan.HIT)).collect()
     assert [r[0] for r in hit] == [False] * 5 + [True] * 5
