@@ -5,16 +5,13 @@ near an entity reveals it as far as it shares the entity's information content,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 P(e | t) / log2 (N / n(e)),
 
-with counts of documents over the whole corpus: ``n(e)`` mention the entity, ``n(t)`` hold the
-term anywhere, ``n(t, e)`` have it in the entity's context. A term seen with the entity in at
-least ``min_contexts`` different contexts (so that copies of one text prove nothing) is
-generalised from one threshold on and removed from another. Base spans always stay.
-
-With ``whole``, which ``sanitise`` uses, ``n(t, e)`` counts whole documents that mention the entity
-and hold the term, and a term over a threshold is marked wherever it occurs in any text. It also
-counts each entity's class (an address' domain, a network, a number's prefix) as an entity, as most
-values are mentioned too seldom to be estimated; there different texts count as contexts. Without
-it, as the SQL of ``op3_pii`` has it, both are limited to single values and their contexts.
+with counts of rows over the whole corpus: ``n(e)`` mention the entity, ``n(t)`` hold the term,
+``n(t, e)`` do both. A pair is estimated if the term was seen within ``context_chars`` of the
+entity in at least ``min_contexts`` different contexts, so that copies of one text prove
+nothing. As most values are mentioned too seldom for that, each value's class (an address'
+domain, a network, a number's prefix) is an entity too; there different texts count as contexts.
+A term is generalised from one threshold on and removed from another, wherever it occurs in any
+text. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import quoted
-from graphloom.llm.storage import cut
+from graphloom.llm.storage import cut, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT_CHARS, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT = 80, 3, 0.8, 0.95
@@ -40,10 +37,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK, CHUNK = 256, 4096
 #: A private-use character that stands for a protected one; it counts as part of a word.
 MASK = "\ue000"
-#: Distinct candidate terms that may be broadcast; a term is a word near an entity, of 2 * CONTEXT_CHARS at most.
+#: Terms, once counted, that may be broadcast; a term is a word near an entity, of CONTEXT_CHARS at most.
 BROADCAST_TERMS = 200_000
 
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
@@ -167,33 +165,20 @@ def _masked(chunks: Column, base: Column) -> Column:
 
 
 def _context(chunks: Column, masked: Column, base: Column, chars: int) -> Column:
-    """array<struct<e,t,context,start,end>>: the words near each base span that touch none.
+    """array<struct<e,t,c>>: the words near each base span that touch none, and a hash of the text around it.
 
-    ``context`` is a hash of the text around the span.
+    A word that the window's outer edge may have cut is left out.
     """
 
     def near(span: Column) -> Column:
         first = F.greatest(span["start"] - chars, F.lit(0))
-        left, right = _cut(chunks, first, span["start"] - first), _cut(chunks, span["end"], F.lit(chars))
-        stop = span["end"] + F.length(right)
-        entity = _entity(span)
-
-        def words(part: Column, at: Column) -> Column:
-            found = F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
-            placed = F.when(F.size(found) > 0, _places(part, WORD, found))
-            placed = F.coalesce(placed, F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
-            return F.transform(
-                placed,
-                lambda w: F.struct(
-                    entity.alias("e"), F.lower(w["value"]).alias("t"), F.xxhash64(left, right).alias("context"),
-                    (w["start"] + at).alias("start"), (w["end"] + at).alias("end"),
-                ),
-            )
-
-        both = F.concat(words(_cut(masked, first, span["start"] - first), first), words(_cut(masked, span["end"], F.lit(chars)), span["end"]))
-        # A word that the window's outer edge may have cut is left out, and one that a span touches.
-        whole = lambda w: ((w["start"] > first) | (first == 0)) & ((w["end"] < stop) | (F.length(right) < chars)) & ~F.contains(w["t"], F.lit(MASK))
-        return F.filter(both, whole)
+        size = span["start"] - first
+        context = F.xxhash64(_cut(chunks, first, size), _cut(chunks, span["end"], F.lit(chars)))
+        left, right = _cut(masked, first, size), _cut(masked, span["end"], F.lit(chars))
+        left = F.when(first > 0, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
+        right = F.when(F.length(right) == chars, F.regexp_replace(right, f"{WORD}$", "")).otherwise(right)
+        words = F.filter(_words(F.concat(left, F.lit(" "), right)), lambda w: ~F.contains(w, F.lit(MASK)))
+        return F.transform(words, lambda w: F.struct(_entity(span).alias("e"), w.alias("t"), context.alias("c")))
 
     return F.flatten(F.transform(base, near))
 
@@ -215,88 +200,70 @@ def _class(e: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), GAP)), "")
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, h, t): id, hash and text of each row; rows that share id and text share their spans."""
-    text = F.col(quoted(text_col)).cast("string")
-    return df.select(F.col(quoted(id_col)).cast("string").alias("k"), F.xxhash64(text).alias("h"), text.alias("t"))
+def _analysed(df: DataFrame, text_col: str, keep: list[str], context_chars: int) -> DataFrame:
+    """Stored rows (row, t, k0.., h, base, near, keys): the text, ``keep``, its hash, spans, context words and entities.
 
+    The patterns run over each text once; what follows reads only the columns that it needs.
+    """
+    if not 0 < context_chars <= CHUNK:
+        raise ValueError(f"a context has 1 to {CHUNK} characters")
+    kept = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = base_spans(df.select(F.col(quoted(text_col)).cast("string").alias("t"), *kept), "t")
+    some = F.size("base") > 0
+    rows = rows.withColumn("chunks", F.when(some, _chunks(F.col("t"))))
+    rows = rows.withColumn("masked", F.when(some, _masked(F.col("chunks"), F.col("base"))))
+    near = F.when(some, _context(F.col("chunks"), F.col("masked"), F.col("base"), context_chars))
+    keys = F.transform("base", _entity)
+    keys = F.when(some, F.array_distinct(F.concat(keys, F.transform(keys, _class))))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "t", *[f"k{i}" for i in range(len(keep))],
+        F.xxhash64("t").alias("h"), "base", near.alias("near"), keys.alias("keys"))
+    return written(rows, "personal_data")
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    """``terms`` to broadcast, if there are no more than BROADCAST_TERMS; else as they are. None at all end the plan here."""
+    n = terms.count()
+    return terms.limit(0) if not n else F.broadcast(terms) if n <= BROADCAST_TERMS else terms
+
+
+def _disclosure(n_te: Column, total: int) -> Column:
+    share = F.log2(F.least(n_te / F.col("n_t"), F.lit(1.0)))
+    return F.when(F.col("n_e") < total, 1 + share / F.log2(F.lit(float(total)) / F.col("n_e"))).otherwise(0.0)
 
-def revealing(df: DataFrame, text_col: str, found: DataFrame, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(e, t, disclosure, action) of the terms over the thresholds; ``found`` has base and near.
 
-    If it also has each text's ``keys`` (entities) and ``words``, n(t, e) counts whole texts.
+def revealing(found: DataFrame, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """(e, t, disclosure, action) of the terms over the thresholds, a term at one being over it.
 
     Everything is counted over the whole corpus with map-side partial aggregates: no list of a
-    term's or an entity's documents is ever made.
+    term's or an entity's rows is ever made. The words of all texts are counted before they meet
+    the pairs. ``n(t, e)`` is at most the lesser of ``n(t)`` and ``n(e)``; pairs that do not pass
+    with that are dropped, and the rows of the others counted.
     """
     total = found.count()
-    pair = F.transform("near", lambda w: F.struct(w["e"].alias("e"), w["t"].alias("t"), w["context"].alias("c")))
-    if "keys" in found.columns:
-        pair = F.concat(pair, F.transform("near", lambda w: F.struct(_class(w["e"]).alias("e"), w["t"].alias("t"), F.col("h").alias("c"))))
-    pair = F.explode(F.array_distinct(pair))
-    pairs = found.filter(F.size("near") > 0).select("row", pair.alias("p")).select("row", "p.e", "p.t", "p.c")
-    seen = pairs.groupBy("e", "t").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("row").alias("n_te"))
-    whole = "keys" in found.columns
-    mentions = F.col("keys") if whole else F.array_distinct(F.transform("near", lambda w: w["e"]))
-    n_e = found.filter(F.size("base" if whole else "near") > 0).select(F.explode(mentions).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    seen = cut(seen.filter(F.col("contexts") >= min_contexts).join(n_e, "e"))
-    words = df.select(F.explode(_words(F.col(quoted(text_col)).cast("string"))).alias("t"))
-    terms = seen.select("t").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    if few:
-        words = words.join(F.broadcast(terms), "t", "left_semi")  # else each word's count crosses a shuffle
-    if whole:
-        held = found.filter(F.size("base") > 0).select("keys", F.explode("words").alias("t"))
-        held = held.join(F.broadcast(terms), "t", "left_semi") if few else held
-        held = held.select("t", F.explode("keys").alias("e")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
-        seen = seen.drop("n_te").join(held, ["e", "t"])
-    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    known = seen.join(n_t, "t")
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    share = F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
-    known = known.withColumn("disclosure", F.when(F.col("n_e") < total, 1 + share / content).otherwise(0.0))
+    mine = F.transform("near", lambda w: F.struct(_class(w["e"]).alias("e"), w["t"].alias("t"), F.col("h").alias("c")))
+    pairs = found.filter("near is not null").select(F.explode(F.array_distinct(F.concat("near", mine))).alias("p")).select("p.e", "p.t", "p.c")
+    seen = pairs.groupBy("e", "t").agg(F.count_distinct("c").alias("contexts")).filter(F.col("contexts") >= min_contexts)
+    n_e = found.select(F.explode("keys").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    n_t = found.select(F.explode(_words(F.col("t"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    known = seen.select("e", "t").join(n_e, "e").join(n_t, "t")
+    likely = cut(known.filter(_disclosure(F.least("n_e", "n_t"), total) >= generalise_at))
+    terms = _few(likely.select("t").distinct())
+    held = found.filter("keys is not null").select("keys", F.explode(_words(F.col("t"))).alias("t")).join(terms, "t")
+    held = held.select("t", F.explode("keys").alias("e")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
+    flagged = likely.join(held, ["e", "t"]).withColumn("disclosure", _disclosure(F.col("n_te"), total))
     action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
-    return known.filter(F.col("disclosure") >= generalise_at).select("e", "t", "disclosure", action.alias("action"))
+    return flagged.filter(F.col("disclosure") >= generalise_at).select("e", "t", "disclosure", action.alias("action"))
 
 
-def _analysis(
-    df: DataFrame, id_col: str, text_col: str, context_chars: int, min_contexts: int, generalise_at: float, remove_at: float, whole: bool = False
-):
-    """(found, added): a row (row, k, h, base, near) for each of ``df``, and (k, h, added) of some.
-
-    With ``whole``, ``added`` has (k, h, hits) instead: the flagged words of each text and their actions.
-    """
-    if not 0 < context_chars <= CHUNK:
-        raise ValueError(f"a context has 1 to {CHUNK} characters")
-    rows = base_spans(_rows(df, id_col, text_col), "t")
-    none = F.expr("cast(array() as array<struct<e:string,t:string,context:bigint,start:int,end:int>>)")
-    rows = rows.withColumn("chunks", F.when(F.size("base") > 0, _chunks(F.col("t"))))
-    rows = rows.withColumn("masked", F.when(F.size("base") > 0, _masked(F.col("chunks"), F.col("base"))))
-    near = _context(F.col("chunks"), F.col("masked"), F.col("base"), context_chars)
-    near = F.when(F.size("base") > 0, near).otherwise(none)
-    more = []
-    if whole:
-        keys = F.transform("base", _entity)
-        keys = F.array_distinct(F.concat(keys, F.transform(keys, _class)))
-        more = [keys.alias("keys"), F.when(F.size("base") > 0, _words(F.array_join("masked", ""))).alias("words")]
-    found = cut(rows.select(F.monotonically_increasing_id().alias("row"), "k", "h", "base", near.alias("near"), *more))
-    flagged = revealing(df, text_col, found, min_contexts, generalise_at, remove_at)
-    if whole:
-        return found, _hits(_rows(df, id_col, text_col), cut(flagged.groupBy("t").agg(F.max("action").alias("action"))))
-    spots = found.filter(F.size("near") > 0).select("k", "h", F.explode("near").alias("w")).select("k", "h", "w.e", "w.t", "w.start", "w.end")
-    hits = spots.join(flagged, ["e", "t"]).groupBy("k", "h", "start", "end").agg(F.max("action").alias("action"))
-    added = hits.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
-    return found, added
-
-
-def _hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k, h, hits): the words of each text that are among ``terms`` (t, action), wherever they are."""
-    words = rows.select("k", "h", F.explode(_words(F.col("t"))).alias("t"))
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    return words.join(terms, "t").groupBy("k", "h").agg(F.collect_set(F.struct("t", "action")).alias("hits"))
+def _added(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(row, added) of the texts that hold a flagged term: its places that touch no base span."""
+    terms = _few(cut(flagged.groupBy("t").agg(F.max("action").alias("action"))))
+    hits = found.select("row", F.explode(_words(F.col("t"))).alias("t")).join(terms, "t")
+    hits = hits.groupBy("row").agg(F.collect_set(F.struct("t", "action")).alias("hits"))
+    return found.select("row", "t", "base").join(hits, "row").select("row", _occurrences(F.col("t"), F.col("base"), F.col("hits")).alias("added"))
 
 
 def _occurrences(text: Column, base: Column, hits: Column) -> Column:
@@ -312,15 +279,10 @@ def _occurrences(text: Column, base: Column, hits: Column) -> Column:
 NO_ADDED = "cast(array() as array<struct<start:int,end:int,action:string>>)"
 
 
-def _with_added(rows: DataFrame, added: DataFrame, text: str | None = None) -> DataFrame:
-    """``rows`` and their spans ``added``; those of (k, h, hits) are found in the column ``text``."""
-    key = lambda c: F.coalesce(F.col(c), F.lit(""))
-    added = added.select(key("k").alias("_k"), F.col("h").alias("_h"), added.columns[-1])
-    rows = rows.withColumn("_k", key("k")).withColumn("_h", F.col("h"))
-    rows = rows.join(added, ["_k", "_h"], "left")
-    if text:
-        rows = rows.withColumn("added", _occurrences(F.col(text), F.col("base"), F.col("hits"))).drop("hits")
-    return rows.withColumn("added", F.coalesce("added", F.expr(NO_ADDED))).drop("_k", "_h")
+def _with_added(df: DataFrame, text_col: str, keep: list[str], context_chars: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
+    found = _analysed(df, text_col, keep, context_chars)
+    added = _added(found, revealing(found, min_contexts, generalise_at, remove_at))
+    return found.join(added, "row", "left").withColumn("added", F.coalesce("added", F.expr(NO_ADDED)))
 
 
 def personal_data(
@@ -331,19 +293,16 @@ def personal_data(
     min_contexts: int = MIN_CONTEXTS,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
-    whole: bool = False,
 ) -> DataFrame:
     """(id, base, added) for each row: base spans, and terms to generalise or remove.
 
-    Offsets are code points, end exclusive. Null and empty texts have no spans. Rows that share
-    id and text share their spans, each row counting for itself; ids may be null. An empty
-    table gives no rows. ``whole`` marks a revealing term in every text and not only in the
-    contexts of its entity.
+    Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows and
+    ids give as many rows, and each counts in N; ids may be null. A term whose disclosure equals a
+    threshold is over it. An empty table gives no rows. Long texts are taken whole. Other columns
+    of ``df`` may have any names.
     """
-    found, added = _analysis(df, id_col, text_col, context_chars, min_contexts, generalise_at, remove_at, whole)
-    kind = df.schema[id_col].dataType
-    out = _with_added(base_spans(_rows(df, id_col, text_col), "t"), added, "t") if whole else _with_added(found, added)
-    return out.select(F.col("k").cast(kind).alias("k"), "base", "added").toDF(id_col, "base", "added")
+    found = _with_added(df, text_col, [id_col], context_chars, min_contexts, generalise_at, remove_at)
+    return found.select("k0", "base", "added").toDF(id_col, "base", "added")
 
 
 def redact(text: Column, base: Column, added: Column) -> Column:
@@ -365,21 +324,19 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     ``length_col``, where there is one, becomes the new length of a text that has changed.
     A revealing term goes from every text that holds it, whether or not the entity is there too.
+    Null, empty and repeated texts, ids, ties and empty tables are as in ``personal_data``; columns
+    may have any names.
     """
     columns = df.columns
-    _, added = _analysis(df, id_col, text_col, CONTEXT_CHARS, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT, whole=True)
-    at = columns.index(text_col)
-    tagged = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    tagged = tagged.withColumn("k", F.col(f"c{columns.index(id_col)}").cast("string")).withColumn("h", F.xxhash64(F.col(f"c{at}").cast("string")))
-    tagged = _with_added(base_spans(tagged, f"c{at}"), added, f"c{at}")
+    keep = [c for c in columns if c != text_col]
+    found = _with_added(df, text_col, keep, CONTEXT_CHARS, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT)
     changed = (F.size("base") > 0) | (F.size("added") > 0)
-    tagged = tagged.withColumn("new", redact(F.col(f"c{at}"), F.col("base"), F.col("added")))
-    out = {f"c{i}": F.col(f"c{i}") for i in range(len(columns))}
-    out[f"c{at}"] = F.col("new")
-    if length_col in columns:
-        n = f"c{columns.index(length_col)}"
-        out[n] = F.when(changed, F.length("new").cast(tagged.schema[n].dataType)).otherwise(F.col(n))
-    return tagged.select(*[v.alias(k) for k, v in out.items()]).toDF(*columns)
+    found = found.withColumn("new", redact(F.col("t"), F.col("base"), F.col("added")))
+    out = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {text_col: F.col("new")}
+    if length_col in keep:
+        kind = df.schema[length_col].dataType
+        out[length_col] = F.when(changed, F.length("new").cast(kind)).otherwise(out[length_col])
+    return found.select(*[out[c].alias(f"c{i}") for i, c in enumerate(columns)]).toDF(*columns)
 
 
 def digest(base: Column) -> Column:
@@ -406,16 +363,15 @@ WITH kinds AS (SELECT * FROM (VALUES
   (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
   (2, 'card', '[0-9]([\x20-]?[0-9])+'),
   (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) AS t(kind, name, pat)),
-docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 m AS (
-  SELECT doc_id, kind, name, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS value, unnest(g[1 : len(v)]) AS gap
-  FROM (SELECT doc_id, kind, name, regexp_extract_all(text, pat) AS v, regexp_split_to_array(text, pat) AS g FROM docs, kinds)),
+  SELECT r, kind, name, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS value, unnest(g[1 : len(v)]) AS gap
+  FROM (SELECT r, kind, name, regexp_extract_all(text, pat) AS v, regexp_split_to_array(text, pat) AS g FROM docs, kinds)),
 placed AS (
-  SELECT doc_id, kind, name, value, regexp_replace(value, '[^0-9]', '', 'g') AS d,
-    sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
-base AS (
-  SELECT doc_id, kind, name, value, (stop - length(value))::INT AS s, stop::INT AS e,
-    kind || ':' || CASE WHEN kind >= 2 THEN d ELSE lower(value) END AS ent
+  SELECT r, kind, name, value, regexp_replace(value, '[^0-9]', '', 'g') AS d,
+    sum(length(gap) + length(value)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM m),
+valid AS (
+  SELECT r, kind, name, (stop - length(value))::INT AS s, stop::INT AS e, CASE WHEN kind >= 2 THEN d ELSE lower(value) END AS v
   FROM placed WHERE CASE kind WHEN 0 THEN true
     WHEN 1 THEN list_max(list_transform(string_split(value, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 256))) <= 255
     WHEN 2 THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
@@ -423,39 +379,51 @@ base AS (
            WHEN substr(d, length(d) + 1 - j, 1)::INT > 4 THEN 2 * substr(d, length(d) + 1 - j, 1)::INT - 9
            ELSE 2 * substr(d, length(d) + 1 - j, 1)::INT END)) % 10 = 0
     ELSE length(d) BETWEEN 9 AND 15 END),
+base AS (
+  SELECT r, kind, name, s, e, kind || ':' || v AS ent, 'class:' || kind || ':' || CASE kind WHEN 0 THEN regexp_replace(v, '^[^@]*', '')
+    WHEN 1 THEN regexp_replace(v, '[0-9]+$', '') WHEN 2 THEN substr(v, 1, 6) ELSE substr(v, 1, length(v) - 4) END AS cls FROM valid),
+keys AS (SELECT r, ent FROM base UNION SELECT r, cls FROM base),
 sides AS (
-  SELECT doc_id, ent, greatest(s - {CONTEXT_CHARS}, 0) AS f, e, length(text) AS n,
-    substr(text, greatest(s - {CONTEXT_CHARS}, 0) + 1, s - greatest(s - {CONTEXT_CHARS}, 0)) AS l, substr(text, e + 1, {CONTEXT_CHARS}) AS r
-  FROM base JOIN docs USING (doc_id)),
+  SELECT r, ent, cls, text, greatest(s - {CONTEXT_CHARS}, 0) AS f, e,
+    substr(text, greatest(s - {CONTEXT_CHARS}, 0) + 1, s - greatest(s - {CONTEXT_CHARS}, 0)) AS a, substr(text, e + 1, {CONTEXT_CHARS}) AS b
+  FROM base JOIN docs USING (r)),
 parts AS (
-  SELECT doc_id, ent, l || chr(10) || r AS context, f, e + length(r) AS stop, length(r) AS nr, f AS p0, l AS part FROM sides
-  UNION ALL SELECT doc_id, ent, l || chr(10) || r, f, e + length(r), length(r), e, r FROM sides),
+  SELECT r, ent, cls, text, a || chr(10) || b AS context, f, e + length(b) AS stop, length(b) AS nb, f AS p0, a AS part FROM sides
+  UNION ALL SELECT r, ent, cls, text, a || chr(10) || b, f, e + length(b), length(b), e, b FROM sides),
 w AS (
   SELECT *, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS word, unnest(g[1 : len(v)]) AS gap
   FROM (SELECT *, row_number() OVER () AS part_id, regexp_extract_all(part, '{WORD}') AS v, regexp_split_to_array(part, '{WORD}') AS g FROM parts)),
 wp AS (
-  SELECT doc_id, ent, context, f, stop, nr, word,
+  SELECT r, ent, cls, text, context, f, stop, nb, word,
     (p0 + sum(length(gap) + length(word)) OVER (PARTITION BY part_id ORDER BY i))::INT AS we FROM w),
 near AS (
-  SELECT doc_id, ent, context, lower(word) AS t, we - length(word) AS ws, we FROM wp
-  WHERE (we - length(word) > f OR f = 0) AND (we < stop OR nr < {CONTEXT_CHARS})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = wp.doc_id AND b.s < wp.we AND wp.we - length(wp.word) < b.e)),
+  SELECT r, ent, cls, md5(text) AS h, context, lower(word) AS t FROM wp
+  WHERE (we - length(word) > f OR f = 0) AND (we < stop OR nb < {CONTEXT_CHARS})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = wp.r AND b.s < wp.we AND wp.we - length(wp.word) < b.e)),
 total AS (SELECT count(*) AS n FROM documents),
-pairs AS (SELECT ent, t, count(DISTINCT context) AS contexts, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ent, t),
-ents AS (SELECT ent, count(DISTINCT doc_id) AS n_e FROM near GROUP BY ent),
-terms AS (
-  SELECT t, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS t FROM docs) GROUP BY t),
+pairs AS (
+  SELECT ent, t FROM near GROUP BY ent, t HAVING count(DISTINCT context) >= {MIN_CONTEXTS}
+  UNION ALL SELECT cls, t FROM near GROUP BY cls, t HAVING count(DISTINCT h) >= {MIN_CONTEXTS}),
+ents AS (SELECT ent, count(*) AS n_e FROM keys GROUP BY ent),
+held AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS t FROM docs),
+terms AS (SELECT t, count(*) AS n_t FROM held GROUP BY t),
+shared AS (SELECT ent, t, count(*) AS n_te FROM pairs JOIN keys USING (ent) JOIN held USING (r, t) GROUP BY ent, t),
 flagged AS (
-  SELECT ent, t FROM pairs JOIN ents USING (ent) JOIN terms USING (t), total
-  WHERE contexts >= {MIN_CONTEXTS} AND n_e < n AND 1 + log2(least(n_te / n_t, 1.0)) / log2(n / n_e) >= {GENERALISE_AT}),
+  SELECT DISTINCT t FROM shared JOIN ents USING (ent) JOIN terms USING (t), total
+  WHERE n_e < n AND 1 + log2(least(n_te / n_t, 1.0)) / log2(n / n_e) >= {GENERALISE_AT}),
+hit AS (SELECT DISTINCT r FROM held JOIN flagged USING (t)),
+hw AS (
+  SELECT r, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS word, unnest(g[1 : len(v)]) AS gap
+  FROM (SELECT r, regexp_extract_all(text, '{WORD}') AS v, regexp_split_to_array(text, '{WORD}') AS g FROM docs JOIN hit USING (r))),
+spots AS (SELECT r, lower(word) AS t, (sum(length(gap) + length(word)) OVER (PARTITION BY r ORDER BY i))::INT AS we, length(word) AS n FROM hw),
 added AS (
-  SELECT doc_id, string_agg('term:' || ws || ':' || we, ',' ORDER BY ws, we) AS a
-  FROM (SELECT DISTINCT doc_id, ws, we FROM near JOIN flagged USING (ent, t)) GROUP BY doc_id),
+  SELECT r, string_agg('term:' || we - n || ':' || we, ',' ORDER BY we) AS a FROM spots JOIN flagged USING (t)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = spots.r AND b.s < spots.we AND spots.we - spots.n < b.e) GROUP BY r),
 b AS (
-  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
-    count(*) FILTER (kind = 3) AS n_phone, string_agg(name || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans FROM base GROUP BY doc_id)
+  SELECT r, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
+    count(*) FILTER (kind = 3) AS n_phone, string_agg(name || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans FROM base GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
   coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(spans, '')) AS base_sha256,
   concat_ws(',', nullif(coalesce(spans, ''), ''), a) AS spans
-FROM docs LEFT JOIN b USING (doc_id) LEFT JOIN added USING (doc_id)
+FROM docs LEFT JOIN b USING (r) LEFT JOIN added USING (r)
 """

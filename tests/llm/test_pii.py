@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -91,12 +92,12 @@ def test_terms_that_reveal_are_found(spark):
     df = spark.createDataFrame(leaks(), "doc_id long, text string")
     found = {r.doc_id: r for r in pii.personal_data(df).collect()}
     assert len(found) == len(leaks())
-    for i in range(6):
-        text = leaks()[i][1]
+    for i in [*range(6), 10, 11]:  # the code word goes from every text that holds it
+        text = dict(leaks())[i]
         own = {(text[s["start"] : s["end"]].lower(), s["action"]) for s in found[i]["added"]}
         assert own == {("bluebird", "remove")} or own == {("bluebird", "generalise")}
         assert len(found[i]["base"]) == 1
-    assert not any(found[i]["added"] for i in found if i not in range(6))
+    assert not any(found[i]["added"] for i in found if i not in [*range(6), 10, 11])
 
 
 def test_thresholds(spark):
@@ -164,7 +165,7 @@ def test_sanitise_takes_a_revealing_term_from_every_text(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert not [i for i, t in out.items() if re.search(r"\bbluebird\b", t or "", re.I)]
     assert out[2002] == "bluebirds stay" and out[7] is None and out[8] == ""
-    found = {r.doc_id: r.added for r in pii.personal_data(df, whole=True).collect()}
+    found = {r.doc_id: r.added for r in pii.personal_data(df).collect()}
     text = dict(rows)
     assert [text[2000][s["start"] : s["end"]] for s in found[2000]] == ["bluebird", "BLUEBIRD"]
     assert [text[2001][s["start"] : s["end"]] for s in found[2001]] == ["Bluebird"]
@@ -181,3 +182,37 @@ def test_a_term_reveals_entities_that_are_mentioned_once(spark):
     out = {r.doc_id: r.text.lower() for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(w in t for t in out.values() for w in ("kestrel", "plover", "dunlin"))
     assert all("siskin" in out[30 + i] for i in range(5))  # copies of one text
+
+
+def flags(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii._analysed(df, "text", ["doc_id"], pii.CONTEXT_CHARS)
+    options = {"min_contexts": 3, "generalise_at": 0.8, "remove_at": 0.95} | options
+    return {(r.e, r.t): (r.disclosure, r.action) for r in pii.revealing(found, **options).collect()}
+
+
+def test_every_mention_counts_for_an_entity(spark):
+    rows = [(i, f"word{i} zeta ann@corp.example.com") for i in range(4)] + [(9, "zeta alone")]
+    rows += [(100 + i, "ann@corp.example.com") for i in range(100)] + [(300 + i, "filler") for i in range(200)]
+    # 4 of the 5 rows with zeta mention her, and so do 104 of 305: 1 + log2(4 / 5) / log2(305 / 104).
+    got = flags(spark, rows, generalise_at=0.7)
+    assert got[("0:ann@corp.example.com", "zeta")][0] == pytest.approx(1 + math.log2(0.8) / math.log2(305 / 104))
+    assert ("0:ann@corp.example.com", "zeta") not in flags(spark, rows, generalise_at=0.8)
+
+
+def test_a_term_at_a_threshold_is_over_it(spark):
+    # 2 of the 4 rows with zeta mention the address, which 2 of 32 rows do: 1 + log2(1 / 2) / log2(16) is 0.75.
+    rows = [(i, f"word{i} zeta ann@corp.example.com") for i in range(2)] + [(10 + i, "zeta") for i in range(2)] + [(100 + i, None) for i in range(28)]
+    pair = ("0:ann@corp.example.com", "zeta")
+    assert flags(spark, rows, min_contexts=2, generalise_at=0.75)[pair] == (0.75, "generalise")
+    assert flags(spark, rows, min_contexts=2, generalise_at=0.5, remove_at=0.75)[pair] == (0.75, "remove")
+    assert pair not in flags(spark, rows, min_contexts=2, generalise_at=0.7500001)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "x a@b.cd", 1, 2, 3, 4), (None, None, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "t long, row string, base int, k0 int, near int, added int")
+    found = pii.personal_data(df, "t", "row")
+    assert found.columns == ["t", "base", "added"] and {(r.t, len(r.base)) for r in found.collect()} == {(1, 1), (None, 0)}
+    out = pii.sanitise(df, "t", "row", None)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x [EMAIL]", 1, 2, 3, 4), rows[1]], key=str)
