@@ -9,37 +9,68 @@ A task holds back a fixed number of pieces and offers the longest of them first.
 from __future__ import annotations
 
 import base64
-import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from graphloom.llm.batches import CHUNK_BYTES, lengths, quoted, slices
 
 CAPACITY, END_ID, OPEN_BINS = 1024, 2, 8192
 #: Pieces that a task holds back to offer the longer ones first.
 LOOKAHEAD = 8192
-TOKENIZERS = "/opt/tokenizers"
-_ENCODINGS: dict[str, tiktoken.Encoding] = {}
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 #: Fixed value: the public pattern that splits a text before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs on which the fast encoder would need too much stack or time.
+LONG = re.compile(r"\s{1000}|[^\W\d_]{1000}|\d{1000}|[^\w\s]{1000}|_{1000}")
+#: A split may end here: between a character that is no space and one space before another that is none.
+CUT = re.compile(r"(?<=\S)(?= \S)")
+SLICE = 1 << 20
 
+_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
-def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> tiktoken.Encoding:
-    """The 50k byte-level BPE from its rank file; gives the ids of ``byte_bpe_50k.json``."""
-    path = os.path.join(folder, name)
-    if path not in _ENCODINGS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+
+def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Callable[[str], np.ndarray]:
+    """Ids of a text as ``tokenizer`` (a tokenizers file) gives them without adding special tokens.
+
+    A faster library encodes by the same ``ranks``. Texts that hold the string of an added token,
+    or a run of a thousand characters of one kind, go to the tokenizer itself, a bounded part at
+    a time; parts end where its splitting of any text ends too.
+    """
+    tokenizer, ranks = tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS)
+    if tokenizer not in _ENCODERS:
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        whole = Tokenizer.from_file(tokenizer)
+        tokens = list(whole.get_added_tokens_decoder().values())
+        if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in tokens):
+            raise ValueError("added tokens must not hold or take up space")  # a part could end in one
+        added = re.compile("|".join(re.escape(t.content) for t in tokens) or "(?!)")
+        fast = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+
+        def ids(text: str) -> np.ndarray:
+            if not LONG.search(text) and not added.search(text):
+                return np.array(fast(text), np.uint32)
+            parts, at = [], 0
+            while at < len(text):
+                end = CUT.search(text, at + SLICE)
+                stop = end.start() if end else len(text)
+                parts.append(np.array(whole.encode(text[at:stop], add_special_tokens=False).ids, np.uint32))
+                at = stop
+            return np.concatenate(parts)
+
+        _ENCODERS[tokenizer] = ids
+    return _ENCODERS[tokenizer]
 
 
 class BestFit:
@@ -94,14 +125,17 @@ def pack(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     end_id: int = END_ID,
-    tokenizers: str = TOKENIZERS,
+    tokenizer: str | None = None,
+    ranks: str | None = None,
     with_ids: bool = True,
 ) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     Each document is its token ids and then ``end_id``; a null text is an empty one and gives
-    the end id alone. Rows with equal ids are packed each for itself; an empty table gives no
-    rows. Every task packs the rows of its own input split in order, without a shuffle, so
+    the end id alone. The string of an added token in a text is that token, as in the file
+    ``tokenizer``. Long texts and runs are taken whole. Rows with equal ids are packed each for
+    itself; an id may be null; an empty table gives no rows; other columns may have any names. Of
+    open sequences that fit equally well the last one used is taken. Every task packs the rows of its own input split in order, without a shuffle, so
     a task that runs again gives the same rows; sequence ids hold the task's partition above
     40 bits. At most ``open_bins`` sequences a task end partly filled.
     """
@@ -113,7 +147,7 @@ def pack(
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizers).encode_ordinary
+        encode = encoder(tokenizer, ranks)
         packer, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         keys, held = [], [[] for _ in range(5)]  # piece, start, length, crc, ids
 
@@ -137,7 +171,7 @@ def pack(
             for lo, hi in slices(lengths(batch.column(0)), CHUNK_BYTES):
                 part, row = batch.slice(lo, hi - lo), []
                 for i, text in enumerate(part.column(0).to_pylist()):
-                    ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
                     for n, (start, length) in enumerate(pieces(len(ids), capacity)):
                         own = ids[start : start + length]
                         row.append(i)

@@ -1,8 +1,11 @@
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
+from unittest.mock import patch
 
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,17 +16,42 @@ from graphloom.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
+EXACT = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+PARTS = st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "\n\n", " " * 1200, "a" * 1100, "=" * 1001, "7" * 1000, "\u3000"]))
+
+
+def exact(text):
+    return EXACT.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PARTS, max_size=8).map("".join))
 def test_ids_equal_those_of_the_tokenizer_file(text):
-    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
-    t.encode_special_tokens = True
-    assert packing.encoding().encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text).tolist() == exact(text)
+
+
+def test_ids_of_added_tokens():
+    assert packing.encoder()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(PARTS, max_size=12).map("".join))
+def test_ids_do_not_depend_on_the_parts(text):
+    with patch.object(packing, "SLICE", 7), patch.object(packing, "LONG", re.compile("(?s).")):
+        assert packing.encoder()(text).tolist() == exact(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "x", " \t\n"])
+def test_long_runs(spark, unit):
+    text = "begin" + unit * (5_000_000 // len(unit)) + "end"
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), with_ids=False).collect()
+    one = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+    ids = [*exact(text), 2]
+    assert sum(r.length for r in one) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[r.start : r.start + r.length])) for r in one)
 
 
 def test_pieces():
