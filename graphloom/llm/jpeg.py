@@ -124,6 +124,8 @@ def parse(data: bytes, start: int = 0) -> Image:
         elif 0xC2 <= marker <= 0xCF and marker not in (DHT, 0xC8, 0xCC):
             raise JpegError("not baseline")
         elif marker == DRI:
+            if len(body) < 2:
+                raise JpegError("short restart interval")
             image.restart = struct.unpack(">H", body[:2])[0]
         elif marker == SOS:
             if not image.parts:
@@ -133,6 +135,8 @@ def parse(data: bytes, start: int = 0) -> Image:
                 image.scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             except (ValueError, IndexError) as e:
                 raise JpegError("scan of an unknown component") from e
+            if len({c for c, _, _ in image.scan}) < len(image.scan):
+                raise JpegError("scan names a component twice")
             raw = np.frombuffer(data, np.uint8, n - at, at)
             ff = np.flatnonzero(raw[:-1] == 0xFF)
             follow = raw[ff + 1]
@@ -256,6 +260,8 @@ def thumbnails(images: list[tuple[bytes, int]]) -> list[tuple[Image, np.ndarray]
             units = [min(per, total - per * j) for j in range(len(lanes))]
             if len(lanes) != -(-total // per):
                 raise JpegError("restart intervals do not cover the image")
+            if any(4 * len(s) < n * len(unit) for s, n in zip(lanes, units, strict=True)):  # a block has two codes of a bit or more
+                raise JpegError("scan ends early")
             quant = image.quant.get(image.parts[0][3])
             if quant is None:
                 raise JpegError("no quantiser table")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -140,3 +141,38 @@ def test_average_hash():
     half = np.zeros((16, 16), np.uint8)
     half[:, 8:] = 200
     assert jpeg.average_hash(half) == "0f" * 8
+
+
+def test_a_short_segment_is_an_error():
+    good = jpeg.encode([bytes(192)])[0]
+    short = good.replace(b"\xff\xdd\x00\x04\x00\xc0", b"\xff\xdd\x00\x02")
+    assert short != good
+    results = media.describe([good, short, good])
+    assert results[0] == results[2] and results[0][-1] is None and results[1][-1] == "short restart interval"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_damaged_streams_never_raise_and_spare_others(seed):
+    rng = random.Random(seed)
+    colour = tiny_jpeg([rng.randrange(-40, 40) for _ in range(24)], [(0, 2, 2), (1, 1, 1), (2, 1, 1)], 32, 32, restart=1)
+    whole = [jpeg.encode([rng.randbytes(192 * 2)])[0], colour]
+    want = media.describe([whole[0]])[0]
+    batch = []
+    for _ in range(400):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randrange(1, 4)):
+            at, what = rng.randrange(min(len(data), rng.choice([40, 400, 10000]))), rng.randrange(4)
+            if what == 0:
+                data[at] = rng.randrange(256)
+            elif what == 1:
+                data[at] ^= 1 << rng.randrange(8)
+            elif what == 2:
+                del data[at : at + rng.randrange(1, 20)]
+            else:
+                data[at:at] = rng.choice([b"\xff", b"\xff\xd0", b"\xff\xd9", b"\xff\xd8", rng.randbytes(3)])
+            if len(data) < 2:
+                break
+        batch += [bytes(data[: rng.randrange(len(data) + 1)]) if rng.random() < 0.3 else bytes(data), whole[0]]
+    found = media.describe(batch)
+    assert all(r == want for r in found[1::2])
+    assert all((r[-1] is None) == (r[0] is not None) for r in found) and any(r[-1] for r in found)
