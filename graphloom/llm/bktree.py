@@ -4,60 +4,62 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A node with at most so many values keeps them as a bucket instead of splitting further.
-LEAF = 48
-
 
 def hamming(values: np.ndarray, other: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(values ^ other)
 
 
 class Node:
-    """``rows`` are the positions of all values below; inner nodes have a pivot and children."""
+    """``rows`` are the positions of the node's own value, which is first, and of all values below."""
 
-    __slots__ = ("children", "pivot", "rows")
+    __slots__ = ("children", "rows")
 
     def __init__(self, rows: np.ndarray):
-        self.rows, self.pivot, self.children = rows, -1, None
+        self.rows, self.children = rows, {}
 
 
 class BKTree:
-    """A tree over distinct values. Inner nodes split by the exact distance to their pivot."""
+    """A tree over distinct values: one in each node, under the child of its distance to the node's.
+
+    ``visits`` counts the nodes that queries reached and ``followed`` the edges on their ways.
+    """
 
-    def __init__(self, values: np.ndarray, leaf: int = LEAF):
+    def __init__(self, values: np.ndarray):
         self.values = np.asarray(values, dtype=np.uint64)
+        self.visits = self.followed = 0
         self.root = Node(np.arange(len(self.values)))
         stack = [self.root]
         while stack:
             node = stack.pop()
-            if len(node.rows) <= leaf:
-                continue
-            node.pivot = int(node.rows[0])
             rest = node.rows[1:]
-            away = hamming(self.values[rest], self.values[node.pivot])
-            node.children = {int(d): Node(rest[away == d]) for d in np.unique(away)}
-            stack.extend(node.children.values())
+            if len(rest) == 1:
+                node.children = {int(hamming(self.values[rest[0]], self.values[node.rows[0]])): Node(rest)}
+            elif len(rest):
+                away = hamming(self.values[rest], self.values[node.rows[0]])
+                order = np.argsort(away, kind="stable")
+                away, rest = away[order], rest[order]
+                firsts = np.flatnonzero(np.diff(away, prepend=255))
+                node.children = {int(away[a]): Node(part) for a, part in zip(firsts.tolist(), np.split(rest, firsts[1:]), strict=True)}
+                stack += [c for c in node.children.values() if len(c.rows) > 1]
 
     def search(self, query: int, radius: int) -> list[int]:
         """Positions of the values within ``radius``; only edges within the radius are followed."""
-        query, found, stack = np.uint64(query), [], [self.root]
+        query, found, stack = np.uint64(query), [], [self.root] if len(self.values) else []
         while stack:
             node = stack.pop()
-            if node.children is None:
-                found += node.rows[hamming(self.values[node.rows], query) <= radius].tolist()
-                continue
-            away = int(hamming(self.values[node.pivot], query))
+            away = int(hamming(self.values[node.rows[0]], query))
             if away <= radius:
-                found.append(node.pivot)
+                found.append(int(node.rows[0]))
             stack += [c for d, c in node.children.items() if abs(d - away) <= radius]
         return sorted(found)
 
-    def components(self, radius: int) -> np.ndarray:
+    def components(self, radius: int, queries: np.ndarray | None = None) -> np.ndarray:
         """For each value the smallest position that links of at most ``radius`` reach.
 
-        All values walk the tree together as one array of queries. A subtree whose values are
-        already one component only takes queries from outside that component, so a tight
-        cluster costs about its size times the tree's depth and not its square.
+        The queries, all values by default, walk the tree together as one array; with fewer, only
+        their links count. A subtree whose values are already one component only takes queries
+        from outside that component, so a tight cluster costs about its size times the tree's
+        depth and not its square.
         """
         values, parent = self.values, np.arange(len(self.values))
 
@@ -70,28 +72,23 @@ class BKTree:
                     return up
                 up = higher
 
-        def unite(rows: np.ndarray) -> None:
-            tops = np.unique(roots(rows))
-            parent[tops] = tops[0]
-
-        stack = [(self.root, self.root.rows)]
+        stack = [(self.root, self.root.rows if queries is None else queries)] if len(values) else []
         while stack:
-            node, queries = stack.pop()
+            node, near = stack.pop()
             below = roots(node.rows)
-            if below.size and (below == below[0]).all():
-                queries = queries[roots(queries) != below[0]]
-            if not len(queries):
-                continue
-            if node.children is None:
-                for row in node.rows:
-                    near = queries[hamming(values[queries], values[row]) <= radius]
-                    if len(near) and (len(near) > 1 or near[0] != row):
-                        unite(np.append(near, row))
+            if (below == below[0]).all():
+                near = near[roots(near) != below[0]]
+            if not len(near):
                 continue
-            away = hamming(values[queries], values[node.pivot]).astype(np.int16)
-            unite(np.append(queries[away <= radius], node.pivot))
+            away = hamming(values[near], values[node.rows[0]]).astype(np.int16)
+            self.visits += len(near)
+            close = near[away <= radius]
+            if len(close):
+                tops = np.unique(roots(np.append(close, node.rows[0])))
+                parent[tops] = tops[0]
             for d, child in node.children.items():
-                near = queries[np.abs(away - d) <= radius]
-                if len(near):
-                    stack.append((child, near))
+                on = near[np.abs(away - d) <= radius]
+                if len(on):
+                    self.followed += len(on)
+                    stack.append((child, on))
         return roots(np.arange(len(values)))

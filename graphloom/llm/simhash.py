@@ -3,8 +3,12 @@
 Links join fingerprints at ``radius`` or fewer differing bits. By the pigeonhole principle two
 such fingerprints agree on at least ``blocks - radius`` of ``blocks`` bit blocks, so sharding
 each fingerprint by every choice of that many blocks brings each linked pair together in some
-shard. Each shard's distinct fingerprints form one BK-tree, and the shard emits a star for each
-component that it finds, never pairs. Exact copies collapse to one fingerprint before that.
+shard. Each shard's distinct fingerprints form one BK-tree in the task that has the shard, and its
+fingerprints are the queries: they follow only edges within the radius, and the shard emits a
+star for each component that it finds, never pairs. The queries of a shard over ``SPLIT`` values
+are dealt over several tasks, each with the shard's tree. Trees go to their queries by the
+shuffle that makes the shards; to broadcast them they would have to be collected on the driver.
+Exact copies collapse to one fingerprint before that.
 """
 
 from __future__ import annotations
@@ -22,11 +26,15 @@ from pyspark.sql import types as T
 from graphloom.llm.batches import annotate, quoted
 from graphloom.llm.bktree import BKTree
 from graphloom.llm.graph import connected_components
-from graphloom.llm.storage import cut
+from graphloom.llm.storage import cut, written
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Expected values in a shard above which shards get another block, and so more key bits.
 SHARD_VALUES = 4096
+#: Queries of one shard that a task takes; a shard with more goes to several tasks.
+SPLIT = 1 << 16
+#: Row numbers that may be broadcast, some 30 MB.
+BROADCAST_ROWS = 1_000_000
 
 #: Fingerprints that may be too frequent for one task: those of over this share of all rows.
 HOT = 1000
@@ -82,43 +90,47 @@ def _shard_keys(fp: str, radius: int, blocks: int):
 
 
 def _stars(radius: int):
-    """Over rows (key, fp) sorted by key: (a, b) with a the least fingerprint of b's component."""
+    """Over rows (key, fp, own) sorted by key: (a, b) with a the least fingerprint of b's component.
 
-    def shard(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = BKTree(values.view(np.uint64)).components(radius)
-        own = top != np.arange(len(top))
-        return values[top[own]], values[own]
+    Only the values that are ``own`` are queries.
+    """
+
+    def shard(values: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, first = np.unique(values, return_index=True)
+        top = BKTree(values.view(np.uint64)).components(radius, np.flatnonzero(own[first]))
+        rest = top != np.arange(len(top))
+        return values[top[rest]], values[rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last key, which may go on in the next batch
 
-        def flush(upto: int):
-            edges = np.flatnonzero(np.diff(keys[:upto])) + 1
-            found = [shard(np.unique(part)) for part in np.split(values[:upto], edges) if len(part) > 1]
-            a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-            b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def found(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, values, own = (np.concatenate(c) for c in zip(*rows, strict=True))
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            parts = zip(np.split(values, edges), np.split(own, edges), strict=True)
+            pairs = [shard(v, o) for v, o in parts if len(v) > 1] or [(np.empty(0, np.int64),) * 2]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate((keys, batch.column(0).to_numpy()))
-            values = np.concatenate((values, batch.column(1).to_numpy()))
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if whole:
-                yield flush(whole)
-                keys, values = keys[whole:], values[whole:]
-        if len(keys):
-            yield flush(len(keys))
+            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            if start or (held and held[-1][0][-1] != rows[0][-1]):
+                yield found([*held, tuple(c[:start] for c in rows)])
+                held = []
+            held.append(tuple(c[start:] for c in rows))
+        if held:
+            yield found(held)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, split: int = SPLIT) -> DataFrame:
     """Star links (a, b) over distinct fingerprints ``fp``; together they connect every component.
 
     ``blocks`` defaults to the fewest (at least ``radius + 1``) that keep shards of evenly
-    spread fingerprints under ``SHARD_VALUES``; it changes the cost and never the result.
+    spread fingerprints under ``SHARD_VALUES``; it and ``split`` change the cost and never the result.
     """
     spark = prints.sparkSession
     if blocks is None:
@@ -127,17 +139,22 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
             blocks += 1
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = prints.select(F.explode(_shard_keys("fp", radius, blocks)).alias("key"), "fp")
+    big = keyed.groupBy("key").count().filter(F.col("count") > split).select("key", F.ceil(F.col("count") / split).cast("int").alias("ways"))
+    keyed = keyed.join(F.broadcast(big), "key", "left")  # one row for each ``split`` rows at most
+    keyed = keyed.select("key", "fp", "ways", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("salt"))
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("ways", F.lit(1))) == F.col("salt")
+    # The salt is part of the number, so that a task with two shares of a shard keeps them apart.
+    keyed = keyed.select(F.when(F.col("ways").isNull(), F.col("key")).otherwise(F.xxhash64("key", "salt")).alias("key"), "fp", own.alias("own"))
     keyed = keyed.repartition(tasks, "key").sortWithinPartitions("key")
     return keyed.mapInArrow(_stars(radius), "a long, b long")
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, blocks: int | None) -> DataFrame:
-    """(id, fp, root, component_id): root is a component's least fingerprint.
+def _classes(rows: DataFrame, radius: int, blocks: int | None) -> DataFrame:
+    """Stored ``rows`` (id, fp, ...) with root and component_id: root is a component's least fingerprint.
 
     The rows of a fingerprint with over 1/HOT of all rows are dealt over several tasks when
     they meet their class; there are at most HOT such fingerprints.
     """
-    rows = cut(fingerprints(df, text_col, keep=[id_col]).toDF("id", "fp"))
     least = cut(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     total = least.agg(F.sum("n")).first()[0] or 0
     nodes = connected_components(links(least.select("fp"), radius, blocks))
@@ -150,41 +167,45 @@ def _classes(df: DataFrame, id_col: str, text_col: str, radius: int, blocks: int
     share = max(1, total // HOT)
     hot = F.broadcast(least.filter(F.col("n") > share).select("fp", F.ceil(F.col("n") / share).cast("int").alias("ways")))
     # The rows come from storage, so their numbers are the same if a task runs again.
-    salted = rows.withColumn("row", F.monotonically_increasing_id()).join(hot, "fp", "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod("row", "ways"), F.lit(0)).cast("int"))
+    salted = rows.withColumn("salt", F.monotonically_increasing_id()).join(hot, "fp", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod("salt", "ways"), F.lit(0)).cast("int")).drop("ways")
     ways = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int") - 1)
-    spread = classes.withColumn("salt", F.explode(F.when(F.col("n") > share, ways).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread, ["fp", "salt"]).select("id", "fp", "root", "component_id")
+    spread = classes.withColumn("salt", F.explode(F.when(F.col("n") > share, ways).otherwise(F.array(F.lit(0))))).drop("n")
+    return salted.join(spread, ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(id, fp, component_id) for each row of ``df``; component_id is the least id reachable.
 
-    Rows without words have fingerprint zero and link like any other. A null id is kept: its
-    row still links others, but names a component only if no id in it is known (then null).
-    Repeated ids and rows give as many rows as they have. An empty table gives no rows.
+    Rows without words (null, empty or blank texts) have fingerprint zero and link like any other.
+    A null id is kept: its row still links others, but names a component only if no id in it is
+    known (then null). Repeated ids and rows give as many rows as they have. An empty table gives
+    no rows. Texts of any length are taken whole; other columns may have any names.
     """
-    return _classes(df, id_col, text_col, radius, blocks).select("id", "fp", "component_id").toDF(id_col, "fp", "component_id")
+    rows = cut(fingerprints(df, text_col, keep=[id_col]).toDF("id", "fp"))
+    return _classes(rows, radius, blocks).select("id", "fp", "component_id").toDF(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``df`` with one row of each component: that of the least id, all columns kept.
 
-    A row without an id stays only where its component has no id at all, the least fingerprint
-    first. Of several rows with that id and fingerprint the one with the least text stays.
+    A row without an id stays only where its component has no id at all; an empty id is an id. Of
+    several rows with that id the least fingerprint stays, then the least hash of the text, then
+    the first row. Null and blank texts are one component; an empty table stays empty.
+
+    Rows are stored once with their fingerprints; only their numbers, ids and hashes move. The
+    numbers of the rows that go are broadcast if there are no more than BROADCAST_ROWS.
     """
     columns = df.columns
-    found = _classes(df, id_col, text_col, radius, None)
-    heads = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("h"))
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    heads = heads.select(F.col("h.fp").alias("k1"), key(F.col("h.id")).alias("k2"))
-    tagged = fingerprints(df, text_col).toDF(*[f"c{i}" for i in range(len(columns))], "k1")
-    tagged = tagged.withColumn("k2", key(F.col(f"c{columns.index(id_col)}")))
-    kept = tagged.join(heads, ["k1", "k2"], "left_semi")
-    row = F.struct(*[f"c{i}" for i in range(len(columns))])
-    text = F.col(f"c{columns.index(text_col)}")
-    first = kept.groupBy("k1", "k2").agg(F.min_by(row, F.struct(text, F.to_json(row))).alias("row"))
-    return first.select(*[F.col(f"row.c{i}") for i in range(len(columns))]).toDF(*columns)
+    tagged = fingerprints(df, text_col).toDF(*[f"c{i}" for i in range(len(columns))], "fp")
+    stored = written(tagged.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    rows = stored.select("row", F.col(f"c{columns.index(id_col)}").alias("id"), "fp", F.xxhash64(f"c{columns.index(text_col)}").alias("h"))
+    found = cut(_classes(rows, radius, None).select("row", "root", "id", "fp", "h"))
+    heads = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "h", "row")).alias("head"))
+    gone = cut(found.select("row").join(heads.select("head.row"), "row", "left_anti"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = stored.join(gone, "row", "left_anti")
+    return kept.select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
 
 
 def hex_fingerprint(fp) -> F.Column:

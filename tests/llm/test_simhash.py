@@ -62,10 +62,10 @@ def clusters(seed, n, centres):
     return np.array(sorted(out), np.uint64)
 
 
-@pytest.mark.parametrize(("n", "centres", "leaf"), [(0, 1, 4), (1, 1, 4), (300, 300, 4), (400, 3, 4), (400, 3, 48), (500, 40, 8)])
-def test_bktree_against_all_pairs(n, centres, leaf):
-    values = clusters(n + leaf, n, centres) if n else np.empty(0, np.uint64)
-    tree = BKTree(values, leaf)
+@pytest.mark.parametrize(("n", "centres"), [(0, 1), (1, 1), (2, 1), (300, 300), (400, 3), (402, 3), (500, 40)])
+def test_bktree_against_all_pairs(n, centres):
+    values = clusters(n + 4, n, centres) if n else np.empty(0, np.uint64)
+    tree = BKTree(values)
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4 if n else np.zeros((0, 0), bool)
     for i in range(min(len(values), 30)):
         assert tree.search(int(values[i]), 4) == np.flatnonzero(near[i]).tolist()
@@ -76,13 +76,35 @@ def test_bktree_against_all_pairs(n, centres, leaf):
             break
         label = new
     assert tree.components(4).tolist() == label.tolist()
-
-
-@pytest.mark.parametrize("blocks", [5, 6, 7, None])
-def test_links_are_whole_for_any_blocks(spark, blocks):
+    assert n < 300 or (tree.followed > 0 and tree.visits > n)
+    if n > 1:  # the links of two sets of queries together are those of all
+        parts = np.array_split(np.random.default_rng(n).permutation(len(values)), 2)
+        edges = np.array([(i, j) for part in parts for i, j in enumerate(BKTree(values).components(4, part))])
+        merged = np.arange(len(values))
+        for _ in range(64):
+            low = np.minimum(merged[edges[:, 0]], merged[edges[:, 1]])
+            np.minimum.at(merged, edges[:, 0], low)
+            np.minimum.at(merged, edges[:, 1], low)
+        assert merged.tolist() == label.tolist()
+
+
+def test_every_node_is_one_value_under_its_distance():
+    tree, seen = BKTree(clusters(5, 400, 20)), []
+    stack = [tree.root]
+    while stack:
+        node = stack.pop()
+        seen.append(int(node.rows[0]))
+        for d, child in node.children.items():
+            assert (np.bitwise_count(tree.values[child.rows] ^ tree.values[node.rows[0]]) == d).all()
+            stack.append(child)
+    assert sorted(seen) == list(range(len(tree.values)))
+
+
+@pytest.mark.parametrize(("blocks", "split"), [(5, 1 << 16), (5, 7), (6, 100), (7, 1 << 16), (None, 1 << 16)])
+def test_links_are_whole_for_any_blocks(spark, blocks, split):
     values = clusters(9, 500, 12).view(np.int64)
     prints = spark.createDataFrame([(int(v),) for v in values], "fp long")
-    found = graph.connected_components(simhash.links(prints, 4, blocks))
+    found = graph.connected_components(simhash.links(prints, 4, blocks, split))
     got = {r.node: r.root for r in found.collect()}
     want = BKTree(values.view(np.uint64)).components(4)
     for i, v in enumerate(values.tolist()):
@@ -129,3 +151,23 @@ def test_query_matches_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, simhash.op9_simhash(spark, "/root/testdata/sf0.001").collect())) == sorted(slow_components(rows))
+
+
+def test_keep_one_tells_no_id_from_an_empty_one(spark):
+    rows = [(None, "SAME text of a few more words"), ("", "same text of a few more words"), ("b", "same text of a few more words")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [tuple(r) for r in kept] == [rows[1]]
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_keep_one_with_and_without_broadcast(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+    docs = [(i, f"text number {i // 3} with its very own words {i // 3}") for i in range(60)] + [(7, None), (5, "")]
+    kept = simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(i, docs[i][1]) for i in range(0, 60, 3)] + [(5, "")])
+
+
+def test_columns_with_the_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, 6, 7), (2, "A b c d e", 8, 9, 10)], "row long, fp string, root int, c0 int, component_id int")
+    assert [tuple(r) for r in simhash.keep_one(df, "row", "fp").collect()] == [(1, "a b c d e", 5, 6, 7)]
+    assert sorted(r[0] for r in simhash.near_duplicates(df, "row", "fp").collect()) == [1, 2]
