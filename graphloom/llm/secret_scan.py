@@ -2,14 +2,17 @@
 
 The field tags each token as outside, begin or inside of a secret. A token's score for a tag is
 the sum of weights of its own shape, of its neighbours' shapes and of the file's kind; Viterbi
-finds the best tags of each line. It learns from the base patterns' own findings, by shape and
-never by text, together with copies of them in which values change case and key words go, and
-so also finds values that the patterns miss.
+finds the best tags of each line. It learns by shape and never by text: from the places where the
+base patterns find something, with made-up secrets of many forms and made-up harmless
+assignments put in their stead, and so also finds values that the patterns miss.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,15 +35,21 @@ HINTS = ("passw", "secret", "token", "api")
 TOKEN = re.compile(r"[\w+/-]+|[^\s\w+/-]+|\n")
 OUT, BEGIN, INSIDE = range(3)
 NEVER = -30.0
-#: Documents with base findings, others, segments from each, tokens in a segment: at most.
-MAX_WITH, MAX_WITHOUT, MAX_SEGMENTS, SEGMENT = 600, 600, 3, 32
-MIN_CHARS = 6
-OFFSETS = (0, -1, -2, 1)
+#: Texts with base findings, others, segments from each, tokens in a segment, made-up copies of one with findings: at most.
+MAX_WITH, MAX_WITHOUT, MAX_SEGMENTS, SEGMENT, COPIES = 600, 600, 3, 32, 4
+#: Characters of a field span at least, and tokens of a chain at most; a longer line is several chains.
+MIN_CHARS, CHAIN = 6, 4096
+OFFSETS = (0, -1, -2, -3, 1)
 FILE_KINDS = 4
 
 #: Words that name secrets, and prefixes of well-known key formats.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "xoxb", "sk_live", "eyJ")
+#: Fixed values of made-up assignments: names of secrets, of harmless values, signs and quotes.
+SECRET_NAMES = ("password", "passwd", "pwd", "db_password", "client_secret", "secret", "token", "auth_token", "api_key", "apikey", "access_key", "private key", "credential", "Bearer")
+PLAIN_NAMES = ("name", "id", "date", "version", "url", "title", "page", "count", "path", "color", "user", "row")
+SIGNS = ("=", " = ", ": ", ":", " => ", " := ", " ", " is ")
+QUOTES = ("", "", "'", '"', "`")
 
 FEATURES = [
     "line", *[f"length{i}" for i in range(7)], *[f"mask{i}" for i in range(32)], "hex", "keyword", "prefix",
@@ -198,6 +207,11 @@ class Tagger:
         warm = (scores[:, 1:].max(axis=1) - scores[:, OUT] > self.cold) & (shapes != 0)
         breaks = np.flatnonzero(shapes == 0)
         starts = np.concatenate(([0], breaks[:-1] + 1))
+        counts = np.maximum(1, -(-(breaks - starts) // CHAIN))
+        if counts.max() > 1:
+            part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts, ends = np.repeat(starts, counts) + part * CHAIN, np.repeat(breaks, counts)
+            breaks = np.minimum(starts + CHAIN, ends)
         warmth = np.concatenate(([0], np.cumsum(warm)))
         live = warmth[breaks] > warmth[starts]
         tags = viterbi(scores, self.field.moves, starts[live], breaks[live])
@@ -238,15 +252,72 @@ def find(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _mixed(token: str) -> str:
-    return "".join(c.upper() if i % 3 == 0 else c for i, c in enumerate(token))
-
-
-def segments(text: str, shapes: Shapes) -> list[tuple[list[int], list[int], int]]:
-    """(shapes, tags, file kind) of up to MAX_SEGMENTS pieces of a text, those with secrets first.
-
-    A piece with a secret comes three times: as it is, with shorter values in upper case, and
-    with shorter values in mixed case and no key words, signs or quotes around.
+def made_up_secret(rng: random.Random) -> str:
+    """A value as secrets have it: hexadecimal, letters and digits, a known prefix, a password."""
+    pick = lambda chars, low, high: "".join(rng.choices(chars, k=rng.randrange(low, high)))
+    both, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
+    kind = rng.randrange(6)
+    if kind == 0:
+        return pick("0123456789abcdef", 16, 65)
+    if kind == 1:
+        return pick("0123456789ABCDEF", 16, 41)
+    if kind == 2:
+        return pick(both, 10, 45)
+    if kind == 3:
+        return pick(both + "+/", 20, 60) + "=" * rng.randrange(3)
+    if kind == 4:
+        return rng.choice(PREFIXES) + (pick(upper, 16, 17) if rng.random() < 0.5 else pick(both, 16, 37))
+    word = pick(string.ascii_lowercase, 4, 9)
+    return (word.title() if rng.random() < 0.5 else word) + rng.choice(("", "", "!", "#", "_", "-")) + pick(string.digits, 2, 5) + rng.choice(("", "", "!", "x", "Ab"))
+
+
+def made_up_value(rng: random.Random) -> str:
+    """A value that is no secret: a word, a number, a date, a version, an address, a path."""
+    word = "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 14)))
+    number = rng.randrange(10 ** rng.randrange(1, 13))
+    forms = (word, word.title(), word.upper(), str(number), f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}",
+        f"{rng.randrange(9)}.{rng.randrange(99)}.{rng.randrange(99)}", f"/{word}/{word[::-1]}", f"{word}-{word[::-1]}", f"{word}{number % 100}", f"https://www.{word}.org/{number % 1000}")
+    return rng.choice(forms)
+
+
+def _made_up(tokens: list[str], tags: list[int], secret: bool, rng: random.Random) -> tuple[list[str], list[int]]:
+    """The segment with another assignment in place of each secret and its name, and its tags."""
+    out, marks, i = [], [], 0
+    while i < len(tokens):
+        if not tags[i]:
+            out.append(tokens[i])
+            marks.append(OUT)
+            i += 1
+            continue
+        while i < len(tokens) and tags[i]:
+            i += 1
+        back = len(out)
+        while back and len(out) - back < 3 and not out[back - 1][-1].isalnum() and out[back - 1] != "\n":
+            back -= 1
+        named = back > 0 and _ID["keyword"] in features(out[back - 1])
+        if named:
+            del out[back - 1 :], marks[back - 1 :]
+        quote, value = rng.choice(QUOTES), made_up_secret(rng) if secret else made_up_value(rng)
+        if not secret or len(value) < 16 or rng.random() < 0.7:  # longer ones also stand alone
+            before = TOKEN.findall(rng.choice(SECRET_NAMES if secret else PLAIN_NAMES) + rng.choice(SIGNS) + quote)
+            out += before
+            marks += [OUT] * len(before)
+        inner = TOKEN.findall(value)
+        out += inner
+        marks += [BEGIN, *[INSIDE] * (len(inner) - 1)] if secret else [OUT] * len(inner)
+        if quote:
+            out.append(quote)
+            marks.append(OUT)
+    return out, marks
+
+
+def segments(
+    text: str, shapes: Shapes, max_segments: int = MAX_SEGMENTS, size: int = SEGMENT, copies: int = COPIES
+) -> list[tuple[list[int], list[int], int]]:
+    """(shapes, tags, file kind) of up to ``max_segments`` pieces of a text, those with secrets first.
+
+    A piece with a secret comes as it is, ``copies`` times with a made-up secret in place of each,
+    and once with harmless values there. What is made up depends on the text alone.
     """
     places = list(TOKEN.finditer(text))
     tags = np.zeros(len(places), np.int64)
@@ -261,19 +332,45 @@ def segments(text: str, shapes: Shapes) -> list[tuple[list[int], list[int], int]
             tags[first] = BEGIN
     tokens = [m[0] for m in places]
     tags[[i for i, t in enumerate(tokens) if t == "\n"]] = OUT
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     kind, out = file_kind(tokens, text), []
-    order = sorted(range(0, len(tokens), SEGMENT), key=lambda c: (-int(tags[c : c + SEGMENT].any()), (c * 2654435761) % (1 << 32)))
-    for c in order[:MAX_SEGMENTS]:
-        own, marks = tokens[c : c + SEGMENT], tags[c : c + SEGMENT].tolist()
-        out.append(([shapes[t] for t in own], marks, kind))
+    order = sorted(range(0, len(tokens), size), key=lambda c: (-int(tags[c : c + size].any()), (c * 2654435761) % (1 << 32)))
+    for c in order[:max_segments]:
+        own, marks = tokens[c : c + size], tags[c : c + size].tolist()
+        made = [(own, marks)]
         if any(marks):
-            out.append(([shapes[t.upper()[: 20 + c % 16] if m else t] for t, m in zip(own, marks, strict=True)], marks, kind))
-            bare = [(_mixed(t)[: 16 + c % 24] if m else t, m) for t, m in zip(own, marks, strict=True) if m or t[0] not in "=:\"'"]
-            bare = [("word" if not m and t.lower().endswith(KEYWORDS) else t, m) for t, m in bare]
-            out.append(([shapes[t] for t, _ in bare], [m for _, m in bare], kind))
+            made += [_made_up(own, marks, n < copies, rng) for n in range(copies + 1)]
+        out += [([shapes[t] for t in some], own_marks, kind) for some, own_marks in made]
     return out
 
 
+def marginals(scores: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tag probabilities, expected transitions, log of the sum over all paths) by forward-backward.
+
+    ``scores`` is (steps, chains, tags) and ``mask`` (steps, chains) says which steps a chain has: a
+    first part of one step or more. Products are kept in range by a factor for each step.
+    """
+    steps = len(scores)
+    top = scores.max(axis=2)
+    local = np.exp(scores - top[:, :, None])
+    step = np.exp(moves)
+    forward, factor = np.empty_like(local), np.ones(scores.shape[:2])
+    forward[0] = local[0] * np.exp([0.0, 0.0, NEVER])
+    factor[0] = forward[0].sum(axis=1)
+    forward[0] /= factor[0][:, None]
+    for t in range(1, steps):
+        new = (forward[t - 1] @ step) * local[t]
+        factor[t] = np.where(mask[t], new.sum(axis=1), 1.0)
+        forward[t] = np.where(mask[t][:, None], new / factor[t][:, None], forward[t - 1])
+    backward, expected = np.ones_like(local), np.zeros((3, 3))
+    for t in range(steps - 1, 0, -1):
+        ahead = np.where(mask[t][:, None], local[t] * backward[t] / factor[t][:, None], 0.0)
+        expected += step * (forward[t - 1].T @ ahead)
+        backward[t - 1] = np.where(mask[t][:, None], ahead @ step.T, 1.0)
+    total = (np.where(mask, np.log(factor) + top, 0.0)).sum(axis=0)
+    return np.where(mask[:, :, None], forward * backward, 0.0), expected, total
+
+
 def fit(rows: list[tuple[list[int], list[int], int]], table: list[tuple[int, ...]], steps: int = 90, rate: float = 0.2, l2: float = 1e-3) -> Field:
     """Maximum likelihood by Adam on exact forward-backward gradients over all segments.
 
@@ -285,40 +382,29 @@ def fit(rows: list[tuple[list[int], list[int], int]], table: list[tuple[int, ...
     if not any(any(tags) for _, tags, _ in rows):
         field.files[:, OUT] = -NEVER
         return field
-    n, length = len(rows), max(len(s) for s, _, _ in rows)
-    shapes, gold, mask = np.zeros((n, length), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+    n, length, reach = len(rows), max(len(s) for s, _, _ in rows), max(map(abs, OFFSETS))
+    shapes, gold, mask = np.zeros((length, n), np.int64), np.zeros((length, n), np.int64), np.zeros((length, n), bool)
     for i, (s, t, _) in enumerate(rows):
-        shapes[i, : len(s)], gold[i, : len(s)], mask[i, : len(s)] = s, t, True
+        shapes[: len(s), i], gold[: len(s), i], mask[: len(s), i] = s, t, True
     kinds = np.array([k for _, _, k in rows])
-    near = [np.pad(shapes, ((0, 0), (2, 2)))[:, 2 + o : 2 + o + length] for o in OFFSETS]
+    wide = np.pad(shapes, ((reach, reach), (0, 0)))
+    near = [wide[reach + o : reach + o + length] for o in OFFSETS]
     hot = np.zeros((len(table), len(FEATURES)))
     for i, shape in enumerate(table):
         hot[i, list(shape)] = 1
     truth = np.eye(3)[gold] * mask[:, :, None]
     pairs = np.zeros((3, 3))
-    np.add.at(pairs, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
-    lse = lambda x, axis: (top := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
+    np.add.at(pairs, (gold[:-1][mask[1:]], gold[1:][mask[1:]]), 1)
     params = [field.weights, field.moves, field.files]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        scores = field.files[kinds][:, None, :] + sum((hot @ field.weights[o])[near[o]] for o in range(len(OFFSETS)))
-        forward, backward = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        forward[:, 0] = scores[:, 0] + np.array([0, 0, NEVER])
-        for t in range(1, length):
-            new = lse(forward[:, t - 1, :, None] + field.moves, 1) + scores[:, t]
-            forward[:, t] = np.where(mask[:, t, None], new, forward[:, t - 1])
-        total = lse(forward[:, -1], 1)
-        expected = np.zeros((3, 3))
-        for t in range(length - 1, 0, -1):
-            ahead = scores[:, t] + backward[:, t]
-            joint = forward[:, t - 1, :, None] + field.moves + ahead[:, None, :]
-            on = mask[:, t]
-            expected += np.exp(joint[on] - total[on, None, None]).sum(axis=0)
-            backward[:, t - 1] = np.where(on[:, None], lse(field.moves + ahead[:, None, :], 2), 0)
-        gap = np.where(mask[:, :, None], np.exp(forward + backward - total[:, None, None]), 0) - truth
+        scores = np.broadcast_to(field.files[kinds], (length, n, 3)) + sum((hot @ field.weights[o])[near[o]] for o in range(len(OFFSETS)))
+        found, expected, _ = marginals(scores, mask, field.moves)
+        gap = found - truth
         flat = gap.reshape(-1, 3)
-        grads = [np.stack([hot.T @ np.stack([np.bincount(near[o].ravel(), flat[:, k], len(table)) for k in range(3)], 1) for o in range(len(OFFSETS))])]
-        grads += [expected - pairs, np.stack([np.bincount(kinds, gap.sum(axis=1)[:, k], FILE_KINDS) for k in range(3)], 1)]
+        by_shape = [np.stack([np.bincount(x.ravel(), flat[:, k], len(table)) for k in range(3)], 1) for x in near]
+        by_file = np.stack([np.bincount(kinds, gap.sum(axis=0)[:, k], FILE_KINDS) for k in range(3)], 1)
+        grads = [np.stack([hot.T @ g for g in by_shape]), expected - pairs, by_file]
         grads[1][OUT, INSIDE] = 0
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             g = g / n + l2 * np.where(p == NEVER, 0, p)
@@ -328,38 +414,62 @@ def fit(rows: list[tuple[list[int], list[int], int]], table: list[tuple[int, ...
     return field
 
 
-def train(df: DataFrame, text_col: str = "text", max_with: int = MAX_WITH, max_without: int = MAX_WITHOUT) -> Field:
+def _least(n_with: int, n_without: int):
+    """Over rows (h, hit): the least ``n_with`` and ``n_without`` distinct hashes of a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {True: np.empty(0, np.int64), False: np.empty(0, np.int64)}
+        for batch in batches:
+            h, hit = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for kind, n in ((True, n_with), (False, n_without)):
+                least[kind] = np.unique(np.concatenate((least[kind], h[hit == kind])))[:n]
+        for kind, hashes in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), kind))], names=["h", "hit"])
+
+    return run
+
+
+def train(
+    df: DataFrame,
+    text_col: str = "text",
+    max_with: int = MAX_WITH,
+    max_without: int = MAX_WITHOUT,
+    max_segments: int = MAX_SEGMENTS,
+    segment: int = SEGMENT,
+    copies: int = COPIES,
+) -> Field:
     """Fit on segments of at most ``max_with`` texts that a base pattern matches and ``max_without`` others.
 
-    Both samples are those of the least text hashes, so a run gives the same field every time.
-    Executors turn the texts into shapes; the driver gets at most MAX_SEGMENTS short lists of
-    numbers for each.
+    Both samples are those of the least text hashes, so a run gives the same field every time; copies
+    of a text count once. Of each text at most ``max_segments`` pieces of ``segment`` tokens are used.
+    Executors turn the texts into shapes; the driver gets short lists of numbers. Null and empty
+    texts are left out; without any finding, or any row, the field tags nothing.
     """
-    texts = df.select(F.col(quoted(text_col)).cast("string").alias("t")).filter(F.length("t") > 0)
-    texts = texts.withColumn("h", F.xxhash64("t")).withColumn("hit", F.col("t").rlike(HIT))
-    heads = texts.select("h", "hit")
-    take = lambda hit, n: heads.filter(F.col("hit") == hit).select("h").distinct().orderBy("h").limit(n)
-    chosen = texts.join(F.broadcast(take(True, max_with).unionAll(take(False, max_without))), "h").select("h", "t")  # max_with + max_without numbers
+    texts = df.select(F.col(quoted(text_col)).cast("string").alias("t")).filter(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
+    hits = texts.select("h", F.col("t").rlike(HIT).alias("hit")).mapInArrow(_least(max_with, max_without), "h long, hit boolean")
+    hits = hits.distinct().collect()  # at most (max_with + max_without) numbers a task
+    chosen = [sorted(r.h for r in hits if r.hit == kind)[:n] for kind, n in ((True, max_with), (False, max_without))]
+    chosen = df.sparkSession.createDataFrame([(h,) for h in sorted({*chosen[0], *chosen[1]})], "h long")
+    chosen = texts.join(F.broadcast(chosen), "h").select("h", "t").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            rows = [(h, s) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in segments(t, shapes)]
+            rows = [s for t in batch.column(1).to_pylist() for s in segments(t, shapes, max_segments, segment, copies)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([h for h, _ in rows], pa.int64()),
-                        pa.array([[shapes.table[n] for n in s] for _, (s, _, _) in rows], pa.list_(pa.list_(pa.int32()))),
-                        pa.array([t for _, (_, t, _) in rows], pa.list_(pa.int32())),
-                        pa.array([k for _, (_, _, k) in rows], pa.int32()),
+                        pa.array([[shapes.table[n] for n in s] for s, _, _ in rows], pa.list_(pa.list_(pa.int32()))),
+                        pa.array([t for _, t, _ in rows], pa.list_(pa.int32())),
+                        pa.array([k for _, _, k in rows], pa.int32()),
                     ],
-                    names=["h", "shapes", "tags", "kind"],
+                    names=["shapes", "tags", "kind"],
                 )
 
-    found = chosen.mapInArrow(run, "h long, shapes array<array<int>>, tags array<int>, kind int").dropDuplicates()
-    rows = sorted({(h, tuple(map(tuple, s)), tuple(t), k) for h, s, t, k in found.toLocalIterator()})
+    found = chosen.mapInArrow(run, "shapes array<array<int>>, tags array<int>, kind int")
+    rows = sorted((tuple(map(tuple, s)), tuple(t), k) for s, t, k in found.toLocalIterator())
     numbers: dict[tuple[int, ...], int] = {(_ID["line"],): 0}
-    parsed = [([numbers.setdefault(x, len(numbers)) for x in s], list(t), k) for _, s, t, k in rows]
+    parsed = [([numbers.setdefault(x, len(numbers)) for x in s], list(t), k) for s, t, k in rows]
     return fit(parsed, list(numbers))
 
 
@@ -369,8 +479,11 @@ SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("s
 def secrets(df: DataFrame, field: Field, text_col: str = "text", keep=None) -> DataFrame:
     """``df``'s columns ``keep``, then ``found``: array<struct<start,kind,end>> of each text.
 
-    Kinds are numbers of KINDS and 3 for what only the field tags. Null and empty texts have
-    none. The field is broadcast: a few thousand numbers whatever the input.
+    Kinds are numbers of KINDS and 3 for what only the field tags, if it has MIN_CHARS characters or
+    more outside base spans. Null and empty texts have none; repeated rows have theirs each; an
+    empty table gives no rows; other columns may have any names. Of equally good tags the lower
+    number wins. Texts are taken whole; a line of over CHAIN tokens is decoded as several, so a
+    field span ends there. The field is broadcast: a few thousand numbers whatever the input.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
 

@@ -137,7 +137,7 @@ def test_viterbi_against_every_path():
 def test_cold_lines_are_outside():
     """Lines that the tagger leaves out would be tagged outside by a full search too."""
     rng = np.random.default_rng(5)
-    field = secret_scan.Field(rng.normal(size=(4, len(secret_scan.FEATURES), 3)), rng.normal(size=(3, 3)), np.zeros((4, 3)))
+    field = secret_scan.Field(rng.normal(size=(len(secret_scan.OFFSETS), len(secret_scan.FEATURES), 3)), rng.normal(size=(3, 3)), np.zeros((4, 3)))
     field.weights[0, :, 0] += 0.6
     texts = ["plain words here\ntoken = abcDEF123456\n\nmore", "x = 1 \"y\"", "", "one"] * 5
     pruned, whole = secret_scan.Tagger(field), secret_scan.Tagger(field)
@@ -145,9 +145,8 @@ def test_cold_lines_are_outside():
     assert list(pruned.tag(texts)) == list(whole.tag(texts))
 
 
-def test_field_learns_and_keeps_base(spark):
+def test_field_learns_and_keeps_base(spark, field):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    field = secret_scan.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     tagger = secret_scan.Tagger(field)
     texts = [r.text or "" for r in docs.collect()]
     found = secret_scan.find(tagger, texts)
@@ -165,6 +164,63 @@ def test_field_learns_and_keeps_base(spark):
     assert any(k == 3 and new[a:b] == "Zx81kkq0fA77bb1290aa" for a, k, b in secret_scan.find(tagger, [new])[0])
 
 
+@pytest.fixture(scope="module")
+def field(spark):
+    return secret_scan.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+#: Forms that no base pattern finds and that training does not make up: other names, signs, quotes and values.
+PLANTED = [
+    ("webhook_pwd -> {}", "mK93xQ77vbT2pLz0"), ("the admin credential was {} until May", "Rw82hjKLp019zmQx"), ("smtp auth [{}]", "9f8E7d6C5b4A3f2E1d0C"),
+    ("deploy key <{}>", "Zq0Xw19Lm28Kp37Vn46Bc"), ("Authorization: Bearer {}", "eyJhbGciOiJIUzI1NiJ9xYz12Qw"), ("export GH_AUTH={}", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"),
+    ("login pwd ~ {} ~", "Sommer2019Regen77"), ("aws id ASIA then {}", "ASIAQ4X7Z2LMNB8P0KJD"), ("stripe: sk_live_{}", "4eC39HqLyjWDarjtT1zdp7dc"), ("|pwd|{}|", "tR7uLq92XzPbWe4"),
+]
+
+
+def test_planted_forms_and_harmless_ones(spark, field):
+    """Recall over planted forms in the corpus' own prose, and false findings in it and in look-alikes."""
+    tagger = secret_scan.Tagger(field)
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and not slow_base(r.text)]
+    hit = total = 0
+    for i, (form, value) in enumerate(PLANTED):
+        for line in [" ".join(p.split()[:12]) for p in prose[i * 10 : i * 10 + 10]]:
+            text = f"{line} {form.format(value)} {line}"
+            hit += any(k == 3 and a < text.index(value) + len(value) // 2 < b for a, k, b in secret_scan.find(tagger, [text])[0])
+            total += 1
+    plain = ["version = 10.2.31", "page: 1234567", "name = 'Elizabeth Montgomery'", "date: 2019-07-28", "the keyboard is very old", "call +1 743 555 3824 now", "see https://www.example.org/path/of/page"]
+    wrong = [t for t in plain if secret_scan.find(tagger, [f"some words {t} and more"])[0]]
+    false = sum(bool(s) for s in secret_scan.find(tagger, prose))
+    print(f"planted forms found {hit} of {total}; look-alikes {len(wrong)} of {len(plain)}; prose {false} of {len(prose)}")
+    assert hit / total >= 0.7 and len(wrong) <= 1 and false / len(prose) < 0.02
+
+
+def test_forward_backward_against_every_path():
+    rng = np.random.default_rng(3)
+    moves, lengths = rng.normal(size=(3, 3)) * 2, [1, 5, 3]
+    moves[0, 2] = secret_scan.NEVER
+    scores = rng.normal(size=(5, 3, 3)) * 4
+    mask = np.arange(5)[:, None] < np.array(lengths)
+    found, expected, total = secret_scan.marginals(scores, mask, moves)
+    want = np.zeros((3, 3))
+    for c, n in enumerate(lengths):
+        value = lambda p, c=c: sum(scores[i, c, t] for i, t in enumerate(p)) + sum(moves[x, y] for x, y in zip(p, p[1:])) + (secret_scan.NEVER if p[0] == 2 else 0)
+        weights = {p: np.exp(value(p)) for p in itertools.product(range(3), repeat=n)}
+        z = sum(weights.values())
+        assert total[c] == pytest.approx(np.log(z))
+        for i in range(n):
+            assert found[i, c] == pytest.approx([sum(w for p, w in weights.items() if p[i] == t) / z for t in range(3)])
+        assert (found[n:, c] == 0).all()
+        for p, w in weights.items():
+            np.add.at(want, (list(p[:-1]), list(p[1:])), w / z)
+    assert expected == pytest.approx(want)
+
+
+def test_a_very_long_line_is_several_chains(field):
+    text = "word=1 " * 200_000 + 'pwd: "Zx81kkq0fA77bb1290aa" ' + "end " * 10
+    spans = secret_scan.find(secret_scan.Tagger(field), [text])[0]
+    assert any("Zx81kkq0fA77bb1290aa" in text[a:b] for a, _, b in spans)
+
+
 def test_secrets_odd_tables(spark):
     rows = [(1, None, 1), (2, "", 1), (None, "token = abcdef0123", 1), (3, "w " * 30000 + "\n" + "f" * 30, 1), (3, "token = abcdef0123", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, found int")
