@@ -78,15 +78,23 @@ class Graph:
 
         The entries of a source of ``hub_degree`` or more are dealt over ``salts`` values.
         """
-        key = ("salted", hub_degree, salts)
+        return self._salted("src", "dst", hub_degree, salts)
+
+    def salted_by_target(self, hub_degree: int, salts: int) -> tuple[DataFrame, DataFrame]:
+        """The same by target: entries with ``_salt`` by hash of target and salt, hubs as (dst, _hub)."""
+        return self._salted("dst", "src", hub_degree, salts)
+
+    def _salted(self, end: str, other: str, hub_degree: int, salts: int) -> tuple[DataFrame, DataFrame]:
+        key, name = ("salted", end, hub_degree, salts), ("hubs", end, hub_degree)
         if key not in self._cache:
-            hubs = self.degrees.filter(F.col("degree") >= hub_degree).select(F.col("id").alias("src"), F.lit(True).alias("_hub"))
-            edges = self.edges.join(hubs, "src", "left")
-            edges = edges.withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.hash("dst"), F.lit(salts))).otherwise(0)).drop("_hub")
-            self._cache[key] = edges.repartition(self.partitions, "src", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+            degrees = self.edges.groupBy(end).agg(F.count("*").alias("degree"))
+            hubs = degrees.filter(F.col("degree") >= hub_degree).select(end, F.lit(True).alias("_hub"))
+            edges = self.edges.join(hubs, end, "left")
+            edges = edges.withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.hash(other), F.lit(salts))).otherwise(0)).drop("_hub")
+            self._cache[key] = edges.repartition(self.partitions, end, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
             self._cache[key].count()
-            self._cache[("hubs", hub_degree)] = hubs.persist()
-        return self._cache[key], self._cache[("hubs", hub_degree)]
+            self._cache[name] = hubs.persist()
+        return self._cache[key], self._cache[name]
 
     @cached_property
     def degrees(self) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.model import UNREACHED, Graph
 from graphloom.operators.construct import in_range
 from graphloom.plans.fixpoint import Epoch, iterate
-from graphloom.plans.strategies import SegmentPlan, Strategy, combine, deliver, meet, strategy
+from graphloom.plans.strategies import SegmentPlan, Strategy, combine, deliver, flood, meet, strategy
 
 DIRECTIONS = ("push", "pull")
 #: Fixed values of the direction rule: divisors of the edges left to check and of the vertices.
@@ -44,17 +44,27 @@ def pull_epoch(
     """(id, parent) of the unvisited vertices in [start, end) with an in-edge from the frontier.
 
     Edges lie by target, so unvisited ones are found and combined where they are; only the
-    frontier moves, to every task if it is small enough.
+    frontier moves, to every task if it is small enough. ``partial_agg`` reduces for each (target,
+    part of the sources) first; ``salted`` deals the in-edges of hubs over tasks.
     """
     how = strategy(how)
     if isinstance(how, SegmentPlan):
         raise ValueError("a pull step takes its range as start and end")
-    edges = graph.prepared_by_target.filter(in_range("dst", start, end))
-    open_ = edges.join(visited.select(F.col("id").alias("dst")), "dst", "left_anti")
+    seen, keys = visited.select(F.col("id").alias("dst")), ["dst"]
+    if how.name == "salted":
+        edges, hubs = graph.salted_by_target(how.hub_degree, how.salts)
+        copies = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(how.salts - 1))).otherwise(F.array(F.lit(0)))
+        seen, keys = seen.join(hubs, "dst", "left").select("dst", F.explode(copies).alias("_salt")), ["dst", "_salt"]
+    else:
+        edges = graph.prepared_by_target
+    open_ = edges.filter(in_range("dst", start, end)).join(seen, keys, "left_anti")
     sources = frontier.select(F.col("id").alias("src"))
     if how.name == "broadcast" and rows is not None and rows <= how.broadcast_rows:
         sources = F.broadcast(sources)
     hit = open_.join(sources, "src", "left_semi")
+    if how.name in ("salted", "partial_agg"):
+        part = F.col("_salt") if how.name == "salted" else F.pmod(F.hash("src"), F.lit(how.salts))
+        hit = hit.groupBy("dst", part.alias("_part")).agg(F.min("src").alias("src"))
     return combine(hit.select(F.col("dst").alias("id"), F.col("src").alias("parent")), F.min, "parent")
 
 
@@ -104,7 +114,13 @@ def bfs(
     start = start.select("id", F.col("id").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh"))
     degrees = graph.degrees if rule else None
 
+    pushing = direction == "push" and how in ("plain", "broadcast")
+
     def step(state: DataFrame, level: int, known: dict) -> DataFrame:
+        if not known:
+            both = flood(graph, state, F.col("src"), F.min, "via")
+            depth = F.when(F.col("depth").isNull(), F.lit(level + 1).cast("long")).otherwise(F.col("depth"))
+            return both.select("id", F.coalesce("parent", "via").alias("parent"), depth.alias("depth"), F.col("depth").isNull().alias("fresh"))
         rows = int(known["rows"])
         if rule:
             way = rule.next(rows, int(known["out_edges"] or 0))
@@ -121,8 +137,8 @@ def bfs(
             both = both.coalesce(graph.partitions)  # a union adds up partitions, level after level
         if rule is None:
             return both
-        weights = degrees.withColumn("fresh", F.lit(True))  # only new rows count
-        return both.join(weights, ["id", "fresh"], "left").select("id", "parent", "depth", "fresh", "degree")
+        weights = degrees.withColumnRenamed("id", "src")
+        return both.join(weights, F.col("fresh") & (F.col("id") == F.col("src")), "left").drop("src")
 
     metrics = {"rows": F.count_if("fresh")}
     first: dict[str, object] = {"rows": 1}
@@ -130,7 +146,7 @@ def bfs(
         start = start.join(degrees, "id", "left")
         metrics["out_edges"] = F.sum("degree")
         first["out_edges"] = start.agg(F.sum("degree")).first()[0] or 0
-    state, epochs = iterate(start, step, metrics, max_levels, first, lambda k: k["rows"] == 0)
+    state, epochs = iterate(start, step, metrics, max_levels, first, lambda k: k["rows"] == 0, "rows" if pushing else None)
     if trace is not None:
         trace += epochs
     out = state.select("id", "parent", "depth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import INFINITE, Graph
 from graphloom.plans.fixpoint import Epoch, iterate
-from graphloom.plans.strategies import Strategy, deliver, meet, strategy
+from graphloom.plans.strategies import Strategy, deliver, flood, meet, strategy
 
 
 def relax_epoch(
@@ -26,9 +26,13 @@ def relax_epoch(
     how = strategy(how)
     fresh = state.filter("fresh").select("id", "dist")
     sent = deliver(graph, fresh, rows, how, F.col("dist") + F.col("w"), F.min, "new", start, end)
+    return _lowered(meet(state.select("id", "dist"), sent, F.min, "new"))
+
+
+def _lowered(both: DataFrame) -> DataFrame:
     smaller = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
     best = F.when(smaller, F.col("new")).otherwise(F.col("dist"))
-    return meet(state.select("id", "dist"), sent, F.min, "new").select("id", best.alias("dist"), smaller.alias("fresh"))
+    return both.select("id", best.alias("dist"), smaller.alias("fresh"))
 
 
 def sssp(
@@ -53,14 +57,21 @@ def sssp(
     else:
         start = graph.vertices.filter(F.col("id") == source).distinct().withColumn("dist", F.lit(0.0))
     start = start.withColumn("fresh", F.lit(True))
+
+    def step(state: DataFrame, _: int, known: dict) -> DataFrame:
+        if not known:
+            return _lowered(flood(graph, state, F.col("dist") + F.col("w"), F.min, "new"))
+        return relax_epoch(graph, state, int(known["updated"]), how)
+
     rows = start.count() if isinstance(source, DataFrame) else 1
     state, epochs = iterate(
         start,
-        lambda state, _, known: relax_epoch(graph, state, int(known["updated"]), how),
+        step,
         {"updated": F.count_if("fresh")},
         max_epochs,
         {"updated": rows},
         lambda known: known["updated"] == 0,
+        "updated" if how in ("plain", "broadcast") else None,
     )
     if trace is not None:
         trace += epochs

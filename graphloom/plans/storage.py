@@ -30,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(context, folder: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what ``cut`` stored for ``df``, when nothing will read it again."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _delete(df.sparkSession.sparkContext, file.get())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own under the shared checkpoint folder, read back."""
     spark = df.sparkSession
@@ -40,7 +52,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the table that ``written`` made, when nothing will read it again."""
-    context = df.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession.sparkContext, folder)

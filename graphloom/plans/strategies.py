@@ -133,3 +133,20 @@ def meet(state: DataFrame, messages: DataFrame, reduce, name: str) -> DataFrame:
     mine = state.select("id", *rest, F.lit(None).cast(kind).alias(name))
     theirs = messages.select("id", *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in rest], name)
     return mine.unionAll(theirs).groupBy("id").agg(*[F.max(c).alias(c) for c in rest], reduce(name).alias(name))
+
+
+def flood(graph: Graph, state: DataFrame, message: Column, reduce, name: str) -> DataFrame:
+    """``meet`` of ``state`` (id, ..., fresh) and the messages along edges out of fresh rows, by the plain strategy.
+
+    The state is used once: each joined edge carries its source's row along, which the aggregation
+    puts together again. So several epochs make one plan that does not double with each, and as
+    state and edges lie by hash of the id, one shuffle is all that an epoch needs.
+    """
+    rest = [c for c in state.columns if c not in ("id", "fresh")]
+    edges = graph.prepared
+    sent = state.join(edges, (F.col("id") == F.col("src")) & F.col("fresh"), "left").withColumn(name, message)
+    kind = sent.schema[name].dataType
+    mine = F.struct("id", *rest, F.lit(None).cast(kind).alias(name))
+    theirs = F.struct(F.col("dst").alias("id"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in rest], name)
+    rows = sent.select(F.inline(F.when(F.col("dst").isNull(), F.array(mine)).otherwise(F.array(mine, theirs))))
+    return rows.groupBy("id").agg(*[F.max(c).alias(c) for c in rest], reduce(name).alias(name))

@@ -6,6 +6,8 @@ least price of its pair. G1 has all items and is shallow and dense, G2 few and i
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,13 @@ from graphloom.operators import bfs as search
 from graphloom.operators import construct, segments, verify
 from graphloom.operators.pagerank import pagerank, rank_epoch
 from graphloom.operators.sssp import relax_epoch, sssp
+from graphloom.functions.random import permute_columns
 from graphloom.plans import schedule
+from graphloom.plans.storage import ensure_checkpoint_dir
+from graphloom.plans.strategies import Strategy
 from graphloom.sources import generate
-from graphloom.sources.profiles import parse_kernel
+from graphloom.sources.csr import load_csr, write_csr
+from graphloom.sources.profiles import parse_kernel, read_profiles, read_schedule, to_yaml, write_schedule
 
 RULES = {"G1": "true", "G2": "l_linenumber = 1 and l_quantity <= 3"}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +116,9 @@ def _lanes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(schedule.to_rows(lanes), schedule.SCHEDULE_SCHEMA)
 
 
+#: A hub here has this many edges, which some vertices of G1 reach at every size.
+SALTED = Strategy("salted", hub_degree=100)
+
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -272,7 +281,9 @@ _bfs_query("bfs_parent_deep", "G2", _PARENTS, ["id", "parent", "depth"])
 _bfs_query("bfs_pull", "G1", _PARENTS, ["id", "parent", "depth"], direction="pull")
 _bfs_query("bfs_direction_optimizing", "G1", _PARENTS, ["id", "parent", "depth"], direction="auto")
 _bfs_query("bfs_direction_plan", "G1", _PARENTS, ["id", "parent", "depth"], direction=["push", "pull", "push"])
-_bfs_query("bfs_salted", "G1", _PARENTS, ["id", "parent", "depth"], how="salted")
+_bfs_query("bfs_salted", "G1", _PARENTS, ["id", "parent", "depth"], how=SALTED)
+_bfs_query("bfs_pull_partial_agg", "G1", _PARENTS, ["id", "parent", "depth"], direction="pull", how="partial_agg")
+_bfs_query("bfs_pull_salted", "G1", _PARENTS, ["id", "parent", "depth"], direction="pull", how=SALTED)
 _bfs_query("bfs_partial_agg", "G1", _PARENTS, ["id", "parent", "depth"], how="partial_agg")
 _bfs_query(
     "bfs_complete", "G2",
@@ -324,7 +335,7 @@ _sssp_query("sssp_dist", "G1")
 _sssp_query("sssp_dist_deep", "G2")
 _sssp_query("sssp_plain", "G1", how="plain")
 _sssp_query("sssp_partial_agg", "G1", how="partial_agg")
-_sssp_query("sssp_salted", "G1", how="salted")
+_sssp_query("sssp_salted", "G1", how=SALTED)
 
 
 @query("sssp_multi_source", _with("G2", "SELECT id, dist FROM d", _SSSP.format(start="(SELECT id FROM deg ORDER BY degree DESC, id LIMIT 3)")))
@@ -344,10 +355,12 @@ def sssp_epoch(spark, sf_dir):
 @query("sssp_segments", _with("G1", "SELECT id, dist FROM d", _SSSP.format(start="source")))
 def sssp_segments(spark, sf_dir):
     g = graph(spark, sf_dir)
+    return sssp(g, source(g), how=_plan(spark, g))
+
+
+def _plan(spark, g: Graph):
     lanes = schedule.most_gain(schedule.costs(profile(spark)), COUNTS)
-    names = {k: k.split()[1] for _, k, _, _ in PROFILE}
-    plan = schedule.segment_plan(segments.equal_edge_ranges(g, 6), lanes, names)
-    return sssp(g, source(g), how=plan)
+    return schedule.segment_plan(segments.equal_edge_ranges(g, 6), lanes, {k: k.split()[1] for _, k, _, _ in PROFILE})
 
 
 # PageRank
@@ -361,7 +374,7 @@ def _rank_query(name: str, sql: str, **options) -> None:
 
 _TEN = _with("G1", f", {_ranks_sql(10)} SELECT id, round(score, 9) AS score FROM r10").replace(" , r0", ", r0")
 _rank_query("pagerank_10", _TEN, max_epochs=10, tol=-1.0, freeze=False)
-_rank_query("pagerank_salted", _TEN, max_epochs=10, tol=-1.0, freeze=False, how="salted")
+_rank_query("pagerank_salted", _TEN, max_epochs=10, tol=-1.0, freeze=False, how=SALTED)
 _rank_query("pagerank_partial_agg", _TEN, max_epochs=10, tol=-1.0, freeze=False, how="partial_agg")
 
 
@@ -372,6 +385,22 @@ def pagerank_epoch(spark, sf_dir):
     return rank_epoch(g, start).select("id", F.round("score", 9).alias("score"))
 
 
+@query("pagerank_segments", _TEN)
+def pagerank_segments(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return pagerank(g, max_epochs=10, tol=-1.0, freeze=False, how=_plan(spark, g)).select("id", F.round("score", 9).alias("score"))
+
+
+@query(
+    "pagerank_epoch_range",
+    _with("G1", f", {_ranks_sql(1, 5e-8)} SELECT r1.id, round(CASE WHEN r1.id >= 100 AND r1.id < 300 THEN r1.score ELSE r0.score END, 9) AS score FROM r1 JOIN r0 USING (id)").replace(" , r0", ", r0"),
+)
+def pagerank_epoch_range(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    start = g.degrees.withColumn("score", F.lit(1.0) / g.num_nodes)
+    return rank_epoch(g, start, start=100, end=300).select("id", F.round("score", 9).alias("score"))
+
+
 @query("pagerank_converged", _with("G1", "SELECT count(*) AS vertices, 1.0::DOUBLE AS total, 0::BIGINT AS unsettled FROM deg"))
 def pagerank_converged(spark, sf_dir):
     """The fixpoint: scores sum to 1, and one more epoch moves none by over the tolerance."""
@@ -384,23 +413,49 @@ def pagerank_converged(spark, sf_dir):
 # Verification
 
 
-@query("verify_bfs", "SELECT 0::BIGINT AS wrong_reach, 0::BIGINT AS wrong_source, 0::BIGINT AS wrong_depth, 0::BIGINT AS not_an_edge")
+# Results damaged in known places, which SQL counts on its own.
+
+
+_DAMAGED_BFS = f"""p AS ({_PARENTS}), d AS (SELECT id, depth, CASE WHEN id % 7 = 1 THEN NULL WHEN id % 7 = 2 THEN id WHEN id % 7 = 3 THEN id + 2 ELSE parent END AS parent FROM p)
+SELECT count(*) FILTER (parent IS NULL) AS wrong_reach, count(*) FILTER (depth = 0 AND parent IS DISTINCT FROM id) AS wrong_source,
+  count(*) FILTER (depth > 0 AND parent IS NOT NULL AND depth IS DISTINCT FROM (SELECT u.depth + 1 FROM p u WHERE u.id = d.parent)) AS wrong_depth,
+  count(*) FILTER (depth > 0 AND parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = d.parent AND e.dst = d.id)) AS not_an_edge FROM d"""
+
+
+@query("verify_bfs", _with("G1", _DAMAGED_BFS, _BFS + ", ").replace(",  p AS", ", p AS"))
 def verify_bfs(spark, sf_dir):
     g = graph(spark, sf_dir)
     s = source(g)
-    return verify.verify_bfs(g, s, search.bfs(g, s, direction="auto"), search.bfs(g, s))
+    part = F.col("id") % 7
+    parent = F.when(part == 1, -1).when(part == 2, F.col("id")).when(part == 3, F.col("id") + 2).otherwise(F.col("parent"))
+    found = search.bfs(g, s)
+    return verify.verify_bfs(g, s, found.select("id", parent.alias("parent")), search.bfs(g, s, direction="pull"))
 
 
-@query("verify_sssp", "SELECT 0::BIGINT AS wrong_dist")
+@query("verify_sssp", _with("G1", "SELECT count(*) FILTER (id % 5 IN (1, 2)) AS wrong_dist FROM d", _SSSP.format(start="source")))
 def verify_sssp(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return verify.verify_sssp(sssp(g, source(g), how="salted"), sssp(g, source(g), how="plain"))
+    part = F.col("id") % 5
+    damaged = F.when(part == 1, F.col("dist") + 1).otherwise(F.col("dist"))
+    return verify.verify_sssp(sssp(g, source(g), how=SALTED).filter(part != 2).select("id", damaged.alias("dist")), sssp(g, source(g)))
 
 
-@query("verify_pagerank", "SELECT 0::BIGINT AS wrong_score")
+@query("verify_pagerank", _with("G1", "SELECT count(*) FILTER (id % 4 IN (1, 2)) AS wrong_score FROM deg"))
 def verify_pagerank(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return verify.verify_pagerank(pagerank(g, max_epochs=5, how="salted"), pagerank(g, max_epochs=5, how="plain"))
+    part = F.col("id") % 4
+    damaged = F.when(part == 1, F.col("score") * 1.001).when(part == 3, F.col("score") * 1.00001).otherwise(F.col("score"))
+    found = pagerank(g, max_epochs=5, how=SALTED).filter(part != 2).select("id", damaged.alias("score"))
+    return verify.verify_pagerank(found, pagerank(g, max_epochs=5, how="plain"))
+
+
+@query("verify_damaged_graph", _with("G1", """SELECT count(DISTINCT src) FILTER (src % 10 = 3)::BIGINT AS wrong_vertices,
+  (count(*) FILTER (src % 10 = 3) + 2 * count(*) FILTER (src % 10 <> 3 AND dst % 10 = 5))::BIGINT AS wrong_edges FROM e"""))
+def verify_damaged_graph(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    w = F.when(F.col("dst") % 10 == 5, F.col("w") + 1).otherwise(F.col("w"))
+    other = Graph(g.edges.filter("src % 10 <> 3").withColumn("w", w), g.vertices.filter("id % 10 <> 3"))
+    return verify.verify_same_graph(g, other).select(F.col("wrong_vertices").cast("long").alias("wrong_vertices"), F.col("wrong_edges").cast("long").alias("wrong_edges"))
 
 
 @query("verify_same_graph", "SELECT 0::BIGINT AS wrong_vertices, 0::BIGINT AS wrong_edges")
@@ -410,6 +465,60 @@ def verify_same_graph(spark, sf_dir):
     return verify.verify_same_graph(g, back).select(F.col("wrong_vertices").cast("long").alias("wrong_vertices"), F.col("wrong_edges").cast("long").alias("wrong_edges"))
 
 
+# Files: written to the shared folder and read again.
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which is a path that all tasks can open."""
+    folder = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/files/{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+_RANKED = "rk AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id DESC) - 1 AS new FROM deg)"
+
+
+@query("csr_round_trip", _with("G1", f", {_RANKED} SELECT s.new AS src, d.new AS dst, e.w::FLOAT::DOUBLE AS w FROM e JOIN rk s ON s.id = e.src JOIN rk d ON d.id = e.dst").replace(" , rk", ", rk"))
+def csr_round_trip(spark, sf_dir):
+    path = f"{_folder(spark)}/graph.wsg"
+    write_csr(graph(spark, sf_dir).ordered(), path)
+    return load_csr(spark, path).edges
+
+
+@query("csr_round_trip_unweighted", _with("G1", f", {_RANKED} SELECT s.new AS src, d.new AS dst FROM e JOIN rk s ON s.id = e.src JOIN rk d ON d.id = e.dst").replace(" , rk", ", rk"))
+def csr_round_trip_unweighted(spark, sf_dir):
+    path = f"{_folder(spark)}/graph.sg"
+    write_csr(graph(spark, sf_dir).ordered().unweighted(), path)
+    return load_csr(spark, path).edges
+
+
+@query("csr_vertices", _with("G1", "SELECT count(*) AS vertices, max(degree) AS max_degree FROM deg"))
+def csr_vertices(spark, sf_dir):
+    path = f"{_folder(spark)}/graph.wsg"
+    write_csr(graph(spark, sf_dir).ordered(), path)
+    loaded = load_csr(spark, path)
+    return loaded.degrees.agg(F.count("*").alias("vertices"), F.max("degree").alias("max_degree"))
+
+
+@query("profile_round_trip", f"WITH {_PROFILE_SQL} SELECT device, kernel, segment, millis FROM p")
+def profile_round_trip(spark, sf_dir):
+    folder, empty = _folder(spark), dict.fromkeys(("start_id", "end_id", "avg_degree", "min_degree", "max_degree", "num_edges", "gteps"), 0)
+    for i, (device, kernel) in enumerate(sorted({(d, k) for d, k, _, _ in PROFILE})):
+        rows = [empty | {"device_name": d, "kernel_name": k, "millisecs": m} for d, k, _, m in PROFILE if (d, k) == (device, kernel)]
+        with open(f"{folder}/profile{i}.yaml", "w", encoding="utf-8") as f:
+            f.write(to_yaml(rows))
+    return read_profiles(spark, f"{folder}/*.yaml")
+
+
+@query("schedule_round_trip", """SELECT * FROM (VALUES ('CPU A', 0, 2, 'sssp plain'), ('CPU A', 3, 3, 'sssp salted'), ('NVIDIA B', 4, 5, 'sssp broadcast 256 256'))
+  AS t(device, seg_start, seg_end, kernel)""")
+def schedule_round_trip(spark, sf_dir):
+    path = f"{_folder(spark)}/plan.skd"
+    write_schedule([("CPU A", [(0, 2, "sssp plain"), (3, 3, "sssp salted")]), ("NVIDIA B", [(4, 5, "sssp broadcast 256 256")])], path)
+    rows = [(device, a, b, kernel) for device, ranges in read_schedule(path) for a, b, kernel in ranges]
+    return spark.createDataFrame(rows, "device string, seg_start int, seg_end int, kernel string")
+
+
 # Reductions
 
 
@@ -458,9 +567,81 @@ def generated_graph(spark, sf_dir):
     return construct.degrees(g.edges).groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
+@query("rmat_bounds", "SELECT 65536::BIGINT AS edges, true AS inside, true AS skewed")
+def rmat_bounds(spark, sf_dir):
+    """All draws are there and in range, and the unpermuted graph leans to the small ids."""
+    edges = generate.rmat_edges(spark, 12, 16, permute=False)
+    inside = F.min(F.least("src", "dst")).between(0, 4095) & F.max(F.greatest("src", "dst")).between(0, 4095)
+    return edges.agg(F.count("*").alias("edges"), inside.alias("inside"), (F.avg("src") < 1200).alias("skewed"))
+
+
+@query("uniform_bounds", "SELECT 65536::BIGINT AS edges, true AS inside, true AS even, true AS weights_inside, true AS weights_even")
+def uniform_bounds(spark, sf_dir):
+    edges = generate.add_weights(generate.uniform_edges(spark, 12, 16))
+    inside = F.min(F.least("src", "dst")).between(0, 4095) & F.max(F.greatest("src", "dst")).between(0, 4095)
+    weights = (F.min("w") >= 0) & (F.max("w") < 1)
+    return edges.agg(F.count("*").alias("edges"), inside.alias("inside"), F.avg("src").between(2000, 2095).alias("even"), weights.alias("weights_inside"), F.avg("w").between(0.49, 0.51).alias("weights_even"))
+
+
+@query("integer_weights", "SELECT 1.0::DOUBLE AS least, 255.0::DOUBLE AS greatest, 0::BIGINT AS broken")
+def integer_weights(spark, sf_dir):
+    edges = generate.add_weights(generate.uniform_edges(spark, 12, 16), kind="int")
+    return edges.agg(F.min("w").alias("least"), F.max("w").alias("greatest"), F.count_if(F.col("w") != F.floor("w")).alias("broken"))
+
+
+@query("permuted_ids", "SELECT unnest(range(3000)) AS id, 1::BIGINT AS sources")
+def permuted_ids(spark, sf_dir):
+    """A permutation of 3000 ids, which is no power of two: each is the image of one."""
+    ids = permute_columns(spark.range(3000), ["id"], 3000, generate.SEED)
+    return ids.groupBy("id").agg(F.count("*").alias("sources"))
+
+
+@query("generated_symmetric", "SELECT 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS one_way, 0::BIGINT AS falling")
+def generated_symmetric(spark, sf_dir):
+    """No loop, no repeat, each entry with its reverse of equal weight, degrees falling with the id."""
+    g = generate.generate(spark, 10, 8, ordered=True)
+    e = g.edges.select("src", "dst", "w")
+    found = e.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), (F.count("*") - F.count_distinct(F.struct("src", "dst"))).alias("repeats"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    found = found.join(F.broadcast(e.exceptAll(back).agg(F.count("*").alias("one_way"))))
+    before = g.degrees.select((F.col("id") + 1).alias("id"), F.col("degree").alias("before"))
+    up = before.join(g.degrees, "id").agg(F.count_if(F.col("degree") > F.col("before")).alias("falling"))
+    return found.join(F.broadcast(up))
+
+
+@query("source_picks_eligible", _with("G1", "SELECT draw, id IS NOT NULL AS eligible, 1::BIGINT AS times FROM (SELECT unnest(range(8))::INT AS draw) LEFT JOIN (SELECT min(src) AS id FROM e) ON true"))
+def source_picks_eligible(spark, sf_dir):
+    """Eight draws are eight different vertices with an edge."""
+    g = graph(spark, sf_dir)
+    picks = spark.createDataFrame(list(enumerate(segments.SourcePicker(g).take(8))), "draw int, id long")
+    times = picks.groupBy("id").agg(F.count("*").alias("times"))
+    ok = segments.eligible_sources(g).withColumn("eligible", F.lit(True))
+    return picks.join(times, "id").join(ok, "id", "left").select("draw", F.coalesce("eligible", F.lit(False)).alias("eligible"), "times")
+
+
+@query("degree_of_source", _with("G1", "SELECT id, degree FROM deg WHERE id = (SELECT id FROM source)"))
+def degree_of_source(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return spark.createDataFrame([(source(g), construct.degree_of(g.edges, source(g)))], "id long, degree long")
+
+
 # Benchmarks and schedules
 
 
+@query("segment_benchmark", _with("G1", f", {_segments_sql(4)} SELECT segment, min(id) AS start_id, max(id) + 1 AS end_id, sum(degree)::BIGINT AS num_edges, true AS timed FROM seg GROUP BY segment").replace(" , idx", ", idx"))
+def segment_benchmark(spark, sf_dir):
+    """The rows of a layer benchmark without their times, which differ from run to run."""
+    rows = benchmarks.layer(graph(spark, sf_dir), "sssp plain", 4, runs=1)
+    return spark.createDataFrame([(r["segment"], r["start_id"], r["end_id"], r["num_edges"], r["millisecs"] > 0) for r in rows], "segment long, start_id long, end_id long, num_edges long, timed boolean")
+
+
+@query("tree_benchmark", _with("G1", "SELECT depth, (1 << depth)::BIGINT AS segments, (SELECT count(*) FROM e) AS num_edges FROM (SELECT unnest(range(3)) AS depth)"))
+def tree_benchmark(spark, sf_dir):
+    rows = benchmarks.tree(graph(spark, sf_dir), "pagerank partial_agg", 2, runs=1)
+    rows = spark.createDataFrame([(r["depth"], r["num_edges"]) for r in rows], "depth long, num_edges long")
+    return rows.groupBy("depth").agg(F.count("*").alias("segments"), F.sum("num_edges").alias("num_edges"))
+
+
 @query("gteps", _with("G1", "SELECT count(*) AS num_edges, count(*) / (250.0 / 1000) / 1e9 / 2 AS gteps FROM e"))
 def gteps(spark, sf_dir):
     n = graph(spark, sf_dir).edges.agg(F.count("*").alias("num_edges"))
@@ -512,6 +693,32 @@ def schedule_worst_time(spark, sf_dir):
     return lanes.agg(F.max("millis").alias("worst_time"))
 
 
+#: Every way to give six segments to one CPU and two GPUs, each by its best kernel.
+_CHOICES = f"""{_BEST_SQL}, lanes AS (SELECT * FROM (VALUES (0, 'CPU A'), (1, 'NVIDIA B'), (2, 'NVIDIA B')) AS t(lane, device)),
+c AS (SELECT segment, lane, millis FROM best JOIN lanes USING (device)),
+ways AS (SELECT {', '.join(f'c{i}.lane AS l{i}, c{i}.millis AS m{i}' for i in range(6))}
+  FROM {', '.join(f'(SELECT * FROM c WHERE segment = {i}) c{i}' for i in range(6))}),
+times AS (SELECT greatest({', '.join('+'.join(f'CASE WHEN l{i} = {n} THEN m{i} ELSE 0 END' for i in range(6)) for n in range(3))}) AS longest FROM ways)"""
+
+
+@query("schedule_exhaustive_time", f"{_CHOICES} SELECT min(longest) AS worst_time FROM times")
+def schedule_exhaustive_time(spark, sf_dir):
+    lanes = schedule.exhaustive(PROFILE, COUNTS)
+    return spark.createDataFrame([(schedule.worst_time(lanes),)], "worst_time double")
+
+
+@query("schedule_covers", "SELECT unnest(range(6))::INT AS segment, 1::BIGINT AS times")
+def schedule_covers(spark, sf_dir):
+    return _lanes(spark).groupBy("segment").agg(F.count("*").alias("times"))
+
+
+@query("schedule_bounds", f"{_CHOICES}, one AS (SELECT min(m) AS single FROM (SELECT sum(millis) AS m FROM best GROUP BY device)) SELECT single, true AS not_under_optimum, true AS not_over_single FROM one")
+def schedule_bounds(spark, sf_dir):
+    """The most-gain schedule is between the exhaustive optimum and the best device alone."""
+    single, worst = schedule.best_single_device(profile(spark)).first().millis, schedule.worst_time(schedule.most_gain(schedule.costs(profile(spark)), COUNTS))
+    return spark.createDataFrame([(single, worst >= schedule.worst_time(schedule.exhaustive(PROFILE, COUNTS)), worst <= single)], "single double, not_under_optimum boolean, not_over_single boolean")
+
+
 @query("parse_kernel", f"""WITH {_PROFILE_SQL} SELECT DISTINCT kernel, CASE WHEN regexp_matches(kernel, '\\d+ \\d+$') THEN regexp_extract(kernel, '^(.*\\S)\\s+\\d+\\s+\\d+$', 1) ELSE kernel END AS name,
   try_cast(regexp_extract(kernel, '(\\d+)\\s+\\d+$', 1) AS INT) AS blocks, try_cast(regexp_extract(kernel, '\\d+\\s+(\\d+)$', 1) AS INT) AS threads FROM p""")
 def parse_kernel_(spark, sf_dir):
