@@ -2,27 +2,29 @@
 
 Each piece of the vocabulary has a unigram score, -log(rank + 1) less a constant: the public
 rank file orders pieces by frequency, which follows Zipf's law. A pre-token's count is that of
-its best-scoring split into pieces. Distinct new pre-tokens are visited in sorted order, which
-walks their trie depth first: the scores of a shared prefix are computed once and only the
-bytes after it are new. The counts at the ends of pre-tokens are kept for later texts.
+its best-scoring split into pieces. The distinct new pre-tokens of a batch go into a trie; a
+node's forward score is computed once, when it is made, whatever shares that prefix, and the
+node at a pre-token's end stores its count. Counts are kept for later texts.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-import os
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graphloom.llm.batches import annotate
-from graphloom.llm.packing import PATTERN, TOKENIZERS
+from graphloom.llm.packing import PATTERN, RANKS
 
 #: Pre-tokens whose counts a worker keeps; beyond it starts anew, with the same results.
 KEPT = 400_000
+#: Bytes of a pre-token above which it shares no prefix in the trie; its count is the same.
+ALONE = 4096
 
 
 class Unigram:
@@ -34,42 +36,60 @@ class Unigram:
         self.suffixes = {piece[i:] for piece in ranks for i in range(len(piece))}
 
     @classmethod
-    def load(cls, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> Unigram:
-        with open(os.path.join(folder, name), "rb") as f:
+    def load(cls, ranks: str | None = None) -> Unigram:
+        with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def extend(self, word: bytes, best: list[float], count: list[int]) -> None:
-        """Continue the forward scores of a prefix of ``word`` to its end.
+    def forward(self, word: bytes, end: int, path: list[int], best: list[float], count: list[int]) -> tuple[float, int]:
+        """Best score of ``word[:end]`` and the pieces of that split; of equal scores the fewest pieces.
 
-        ``best[i]`` is the best score of the first i bytes, ``count[i]`` the pieces of that
-        split; of equal scores the one with fewer pieces counts.
+        ``best`` and ``count`` have those of the shorter prefixes, at the numbers in ``path``.
         """
         scores, suffixes = self.scores, self.suffixes
-        for end in range(len(best), len(word) + 1):
-            top, pieces = -math.inf, 0
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                if piece not in suffixes:
-                    break
-                score = scores.get(piece)
-                if score is not None:
-                    total = best[start] + score
-                    if total > top or (total == top and count[start] + 1 < pieces):
-                        top, pieces = total, count[start] + 1
-            best.append(top)
-            count.append(pieces)
-
-    def counts(self, words: list[bytes]) -> list[int]:
-        """Pieces of each of ``words``, which are sorted: a walk over their trie, depth first."""
-        out, last = [], b""
-        best, count = [0.0], [0]
-        for word in words:
-            shared = len(os.path.commonprefix((last, word)))
-            del best[shared + 1 :], count[shared + 1 :]
-            self.extend(word, best, count)
-            out.append(count[-1])
-            last = word
-        return out
+        top, pieces = -math.inf, 0
+        for start in range(end - 1, -1, -1):
+            piece = word[start:end]
+            if piece not in suffixes:
+                break
+            score = scores.get(piece)
+            if score is not None:
+                at = path[start]
+                total = best[at] + score
+                if total > top or (total == top and count[at] + 1 < pieces):
+                    top, pieces = total, count[at] + 1
+        return top, pieces
+
+
+class Trie:
+    """Prefixes of words: node 0 is the empty one, ``next`` maps (node, byte) to a child.
+
+    ``best`` and ``count`` are each node's forward score, ``terminal`` the counts at words' ends.
+    """
+
+    def __init__(self, model: Unigram):
+        self.model, self.next, self.best, self.count, self.terminal = model, {}, [0.0], [0], {}
+
+    def insert(self, word: bytes) -> int:
+        """The count of ``word``; only nodes that are not there yet are made and scored."""
+        if len(word) > ALONE:
+            path, best, count = range(len(word) + 1), [0.0], [0]
+            for end in range(1, len(word) + 1):
+                score, pieces = self.model.forward(word, end, path, best, count)
+                best.append(score)
+                count.append(pieces)
+            return count[-1]
+        node, path = 0, [0]
+        for end, byte in enumerate(word, 1):
+            key = node << 8 | byte
+            node = self.next.get(key)
+            if node is None:
+                node = self.next[key] = len(self.best)
+                score, pieces = self.model.forward(word, end, path, self.best, self.count)
+                self.best.append(score)
+                self.count.append(pieces)
+            path.append(node)
+        self.terminal[node] = self.count[node]
+        return self.terminal[node]
 
 
 class Counter:
@@ -87,21 +107,25 @@ class Counter:
         if len(known) + len(new) > self.kept:
             known.clear()
             new = set().union(*parts)
-        order = sorted(w.encode("utf-8") for w in new)
-        known.update(zip((w.decode("utf-8") for w in order), self.model.counts(order), strict=True))
+        trie = Trie(self.model)
+        known.update((w, trie.insert(w.encode("utf-8"))) for w in new)
         return [(sum(map(known.__getitem__, p)), len(p)) for p in parts]
 
 
-_MODELS: dict[str, Counter] = {}
+_MODELS: dict[str | None, Counter] = {}
 
 
-def token_counts(df: DataFrame, text_col: str = "text", keep=None, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """``df``'s columns ``keep``, then n_tokens and n_pretokens; null and empty texts have none."""
+def token_counts(df: DataFrame, text_col: str = "text", keep=None, ranks: str | None = None) -> DataFrame:
+    """``df``'s columns ``keep``, then n_tokens and n_pretokens; null and empty texts have none.
+
+    Repeated rows count each for itself; an empty table gives no rows; columns may have any names.
+    Texts are taken whole, however long. Of equally good splits the one with fewer pieces counts.
+    """
 
     def make():
-        if tokenizers not in _MODELS:  # a worker that serves several tasks keeps its counts
-            _MODELS[tokenizers] = Counter(Unigram.load(tokenizers))
-        count = _MODELS[tokenizers]
+        if ranks not in _MODELS:  # a worker that serves several tasks keeps its counts
+            _MODELS[ranks] = Counter(Unigram.load(ranks))
+        count = _MODELS[ranks]
 
         def run(texts: pa.Array):
             found = count([t or "" for t in texts.to_pylist()])

@@ -88,8 +88,17 @@ def test_counts_against_brute_force(texts):
 
 
 def test_shared_prefixes_count_once():
-    words = sorted([b"the", b"then", b"them", b"there", b"thereby", b"xyz"])
-    assert MODEL.counts(words) == [brute(w) for w in words]
+    words = [b"then", b"the", b"them", b"thereby", b"there", b"xyz", b"the"]
+    trie = token_counts.Trie(MODEL)
+    assert [trie.insert(w) for w in words] == [brute(w) for w in words]
+    assert len(trie.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)}) == len(trie.next) + 1
+    assert sorted(trie.terminal.values()) == sorted(brute(w) for w in set(words))
+
+
+def test_a_word_that_shares_nothing_counts_the_same(monkeypatch):
+    words = [b"thereby", b" international", b"zzzzzzz"]
+    monkeypatch.setattr(token_counts, "ALONE", 3)
+    assert [token_counts.Trie(MODEL).insert(w) for w in words] == [brute(w) for w in words]
 
 
 @pytest.mark.parametrize("kept", [1, 10, 400000])
