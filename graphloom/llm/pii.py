@@ -16,7 +16,7 @@ text. Base spans always stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import quoted
@@ -41,8 +41,8 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK, CHUNK = 256, 4096
 #: A private-use character that stands for a protected one; it counts as part of a word.
 MASK = "\ue000"
-#: Terms, once counted, that may be broadcast; a term is a word near an entity, of CONTEXT_CHARS at most.
-BROADCAST_TERMS = 200_000
+#: Rows, once counted, that may be broadcast: terms, which are words near an entity, numbers, or a text's places.
+BROADCAST_ROWS = 200_000
 
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
@@ -223,10 +223,10 @@ def _analysed(df: DataFrame, text_col: str, keep: list[str], context_chars: int)
     return written(rows, "personal_data")
 
 
-def _few(terms: DataFrame) -> DataFrame:
-    """``terms`` to broadcast, if there are no more than BROADCAST_TERMS; else as they are. None at all end the plan here."""
-    n = terms.count()
-    return terms.limit(0) if not n else F.broadcast(terms) if n <= BROADCAST_TERMS else terms
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` to broadcast, if there are no more than BROADCAST_ROWS; else as they are. None at all end the plan here."""
+    n = rows.count()
+    return rows.limit(0) if not n else F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def _disclosure(n_te: Column, total: int) -> Column:
@@ -259,21 +259,25 @@ def revealing(found: DataFrame, min_contexts: int, generalise_at: float, remove_
 
 
 def _added(found: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(row, added) of the texts that hold a flagged term: its places that touch no base span."""
-    terms = _few(cut(flagged.groupBy("t").agg(F.max("action").alias("action"))))
-    hits = found.select("row", F.explode(_words(F.col("t"))).alias("t")).join(terms, "t")
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("t", "action")).alias("hits"))
-    return found.select("row", "t", "base").join(hits, "row").select("row", _occurrences(F.col("t"), F.col("base"), F.col("hits")).alias("added"))
-
+    """(row, added) of the texts that hold a flagged term: its places that touch no base span.
 
-def _occurrences(text: Column, base: Column, hits: Column) -> Column:
-    """array<struct<start,end,action>>: the places in ``text`` of the words in ``hits`` that touch no base span."""
-    masked = F.when(F.size(base) > 0, F.array_join(_masked(_chunks(text), base), "")).otherwise(text)
-    action = F.map_from_entries(hits)
-    found = F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))
-    placed = F.filter(_places(masked, WORD, found), lambda w: F.map_contains_key(action, F.lower(w["value"])))
-    added = F.transform(placed, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(action, F.lower(w["value"])).alias("action")))
-    return F.when(F.size(hits) > 0, added).otherwise(F.expr(NO_ADDED))
+    Only those texts are split into words with their places, which are running sums over a text.
+    """
+    terms = _few(cut(flagged.groupBy("t").agg(F.max("action").alias("action"))))
+    hits = cut(found.select("row", F.explode(_words(F.col("t"))).alias("t")).join(terms, "t").select("row").distinct())
+    texts = found.join(_few(hits), "row", "left_semi").select("row", "t", "base")
+    words = F.filter(F.split("t", GAP), lambda w: w != "")
+    gaps = F.transform(F.split("t", WORD, -1), F.length)
+    steps = texts.select("row", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"))).alias("i", "s"))
+    steps = steps.select("row", "i", "s.gap", "s.word").filter("word is not null")
+    before = Window.partitionBy("row").orderBy("i")
+    stop = F.sum(F.col("gap") + F.length("word")).over(before.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    steps = steps.withColumn("end", stop).withColumn("start", F.col("end") - F.length("word"))
+    places = steps.select("row", F.lower("word").alias("t"), "start", "end").join(terms, "t").drop("t")
+    spans = texts.select(F.col("row").alias("own"), F.explode("base").alias("s")).select("own", F.col("s.start").alias("from"), F.col("s.end").alias("upto"))
+    touched = (F.col("from") < F.col("end")) & (F.col("start") < F.col("upto"))
+    places = places.join(spans, (F.col("row") == F.col("own")) & touched, "left_anti")
+    return places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
 
 
 NO_ADDED = "cast(array() as array<struct<start:int,end:int,action:string>>)"
@@ -281,7 +285,7 @@ NO_ADDED = "cast(array() as array<struct<start:int,end:int,action:string>>)"
 
 def _with_added(df: DataFrame, text_col: str, keep: list[str], context_chars: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
     found = _analysed(df, text_col, keep, context_chars)
-    added = _added(found, revealing(found, min_contexts, generalise_at, remove_at))
+    added = _few(cut(_added(found, revealing(found, min_contexts, generalise_at, remove_at))))
     return found.join(added, "row", "left").withColumn("added", F.coalesce("added", F.expr(NO_ADDED)))
 
 
