@@ -31,8 +31,8 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 #: Fixed value: the public pattern that splits a text before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs on which the fast encoder would need too much stack or time.
-LONG = re.compile(r"\s{1000}|[^\W\d_]{1000}|\d{1000}|[^\w\s]{1000}|_{1000}")
+#: Characters of a run, with or without spaces, on which the fast encoder may need too much stack or time.
+LONG = 1000
 #: A split may end here: between a character that is no space and one space before another that is none.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 SLICE = 1 << 20
@@ -44,7 +44,7 @@ def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Callable[
     """Ids of a text as ``tokenizer`` (a tokenizers file) gives them without adding special tokens.
 
     A faster library encodes by the same ``ranks``. Texts that hold the string of an added token,
-    or a run of a thousand characters of one kind, go to the tokenizer itself, a bounded part at
+    or a run of LONG characters, spaces or none, go to the tokenizer itself, a bounded part at
     a time; parts end where its splitting of any text ends too.
     """
     tokenizer, ranks = tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS)
@@ -55,11 +55,12 @@ def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Callable[
         tokens = list(whole.get_added_tokens_decoder().values())
         if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in tokens):
             raise ValueError("added tokens must not hold or take up space")  # a part could end in one
-        added = re.compile("|".join(re.escape(t.content) for t in tokens) or "(?!)")
+        added, spaces = [t.content for t in tokens], re.compile(rf"\s{{{LONG}}}")
         fast = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
         def ids(text: str) -> np.ndarray:
-            if not LONG.search(text) and not added.search(text):
+            long = len(text) >= LONG and (spaces.search(text) or max(map(len, text.split()), default=0) >= LONG)
+            if not long and not any(t in text for t in added):
                 return np.array(fast(text), np.uint32)
             parts, at = [], 0
             while at < len(text):
@@ -67,7 +68,7 @@ def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Callable[
                 stop = end.start() if end else len(text)
                 parts.append(np.array(whole.encode(text[at:stop], add_special_tokens=False).ids, np.uint32))
                 at = stop
-            return np.concatenate(parts)
+            return np.concatenate([np.empty(0, np.uint32), *parts])
 
         _ENCODERS[tokenizer] = ids
     return _ENCODERS[tokenizer]

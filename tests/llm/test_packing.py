@@ -1,5 +1,4 @@
 import random
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -37,10 +36,10 @@ def test_ids_of_added_tokens():
     assert packing.encoder()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(PARTS, max_size=12).map("".join))
 def test_ids_do_not_depend_on_the_parts(text):
-    with patch.object(packing, "SLICE", 7), patch.object(packing, "LONG", re.compile("(?s).")):
+    with patch.object(packing, "SLICE", 7), patch.object(packing, "LONG", 0), patch.object(packing, "_ENCODERS", {}):
         assert packing.encoder()(text).tolist() == exact(text)
 
 
