@@ -119,9 +119,10 @@ def contamination(
     A word inside any occurrence of any window counts once in ``n_hit``. Null and word-less
     texts have no words and no hits. Items without words have no windows; those without id are one
     null at the end of items, as in the SQL. An empty
-    benchmark hits nothing. Repeated items and rows are kept as they are. Only the benchmark
-    is broadcast, as its shards; each worker holds one automaton, of ``shard_bytes`` at most,
-    and with several shards builds them in turn for each batch, so memory stays bounded.
+    benchmark hits nothing. Repeated items and rows are kept as they are. Texts are taken whole;
+    other columns may have any names. The whole benchmark is broadcast, as its shards; each worker
+    holds one automaton at a time, which takes some 470 bytes for each byte of a shard's items, and
+    with several shards builds them in turn for each batch.
     """
     context = df.sparkSession.sparkContext
     shards = [context.broadcast(s) for s in _shards(benchmark, item_col, item_text_col, shard_bytes)]
