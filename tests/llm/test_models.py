@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import tracemalloc
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -77,6 +80,78 @@ def test_folding():
     assert len(langid.grams(langid.folded("ab")[0])) == 2 + 3 + 2  # a b; _a ab b_; _ab ab_
 
 
+def test_blocks_change_nothing(monkeypatch):
+    texts = ["", "..", "Ab, c1d", "one two  three", "x", "der Hund, 12 die Katze!", "日本 é", "a1" * 9, "1" * 9 + "ab" + "-" * 9]
+    whole = [langid.folded(t) for t in texts]
+    model = langid.fit({"aa": np.bincount(langid.grams(whole[3][0], 64), minlength=64), "bb": np.bincount(langid.grams(whole[5][0], 64), minlength=64)}, {"aa": 1, "bb": 2}, 64)
+    names, scores = model.predict(texts)
+    for size in (1, 2, 3, 5, 8):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        for t, (points, letter) in zip(texts, whole):
+            assert langid.folded(t)[1] == letter and langid.folded(t)[0].tolist() == points.tolist()
+            parts = [g for part in langid.gram_blocks(points, 64) for g in part.tolist()]
+            assert sorted(parts) == sorted(langid.grams(points, 64).tolist())
+        got = model.predict(texts)
+        assert got[0] == names and np.allclose(got[1], scores, rtol=1e-9)
+
+
+def test_language_ties():
+    counts = np.bincount(langid.grams(langid.folded("ab")[0], 64), minlength=64)
+    for order in (["xx", "aa", "mm"], ["mm", "xx", "aa"]):
+        names, scores = langid.fit({n: counts for n in order}, {n: 1 for n in order}, 64).predict(["ab", "q"])
+        assert names == ["aa", "aa"] and np.allclose(scores, 1 / 3)
+
+
+def test_language_long_text_is_scored_in_bounded_memory():
+    counts = np.bincount(langid.grams(langid.folded("the cat")[0]), minlength=langid.BUCKETS)
+    model = langid.fit({n: counts for n in "abcdefgh"}, {n: 1 for n in "abcdefgh"})
+    text = "the cat sat " * 400_000
+    langid.letters()
+    tracemalloc.start()
+    model.predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+
+
+def slow_grams(text, buckets):
+    """The n-grams' buckets by loops over strings."""
+    points = [0]
+    for c in text.lower():
+        p = ord(c) if unicodedata.category(c)[0] == "L" else 0
+        points += [p] if p or points[-1] else []
+    points += [0] if points[-1] else []
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            own = points[i : i + n]
+            if own == [0] or (n == 3 and not own[1]) or len(points) == 1:
+                continue
+            h = n
+            for p in own:
+                h = ((h ^ (p * 2654435761 & 0xFFFFFFFF)) * 16777619) & 0xFFFFFFFF
+                h ^= h >> 15
+            yield h % buckets
+
+
+def test_language_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    buckets, counts, rows = langid.BUCKETS, {}, {}
+    grams = [Counter(slow_grams(r.text or "", buckets)) for r in docs]
+    for r, own in zip(docs, grams):
+        if own and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(own)
+            rows[r.lang] = rows.get(r.lang, 0) + 1
+    logs = {n: (math.log(rows[n] / sum(rows.values())), math.log(sum(c.values()) + langid.SMOOTHING * buckets)) for n, c in counts.items()}
+    want = {}
+    for r, own in zip(docs, grams):
+        total = {n: prior + sum(k * (math.log(counts[n][g] + langid.SMOOTHING) - size) for g, k in own.items()) for n, (prior, size) in logs.items()}
+        best = max(sorted(total), key=total.get)
+        want[r.doc_id] = (best, 1 / sum(math.exp(t - total[best]) for t in total.values())) if own else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op6_langid(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d][0] == want[d][0] and math.isclose(got[d][1], want[d][1], rel_tol=1e-3) for d in want)
+
+
 def test_languages_on_held_out_rows(spark):
     found = langid.op6_langid(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
