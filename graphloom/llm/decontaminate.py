@@ -1,27 +1,34 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised item windows.
 
 Texts are normalised to lower-case ASCII words joined by single spaces. Every run of ``window``
-item words (or a shorter item's whole words) is one pattern. Each document is scanned once and
-its hits are mapped back to word positions and to character offsets of the original text.
+item words (or a shorter item's whole words) is one pattern. The automaton runs over two symbols
+for each item word in place of the word's characters, with a third of the nodes. Each document
+is scanned once and its hits are mapped back to word positions and to character offsets of the
+original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.batches import annotate, quoted
+from graphloom.llm.storage import cut, written
 
 WINDOW = 10
-#: Item text bytes for one automaton; more items make more shards, each scanned in turn.
-SHARD_BYTES = 8 << 20
+#: Item text bytes for one automaton and one broadcast; more items take a pass for each such shard.
+SHARD_BYTES = 2 << 20
+#: Rows of documents with hits that may be broadcast to meet the others.
+BROADCAST_ROWS = 100_000
 
 #: A-Z to a-z, digits, a-z and bytes of non-ASCII characters as they are, all else to space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -33,34 +40,38 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Patterns of a set of items; ``scan`` gives the (first word, last word, items) of each hit."""
+    """Patterns of a set of items; ``scan`` gives the (first word, last word, items) of each hit.
+
+    A word's number is written as a high and a low symbol of two alphabets, so a hit can only
+    begin at a word; words of no item are two symbols that no pattern has.
+    """
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
-        patterns: dict[str, tuple[int, set]] = {}
-        for item, text in items:
-            words = words_of(text)
+        numbers: dict[bytes, int] = {}
+        texts = [(item, [numbers.setdefault(w, len(numbers)) for w in words_of(text)]) for item, text in items]
+        base = math.isqrt(len(numbers)) + 1
+        self.symbols = {w: chr(1 + n // base) + chr(1 + base + n % base) for w, n in numbers.items()}
+        symbols, values = list(self.symbols.values()), {}
+        self.machine = ahocorasick.Automaton()
+        for item, words in texts:
             k = min(window, len(words))
+            text = "".join([symbols[n] for n in words])
             for i in range(len(words) - k + 1 if k else 0):
-                key = " " + b" ".join(words[i : i + k]).decode("utf-8") + " "
-                patterns.setdefault(key, (k, set()))[1].add(item)
-        self.machine = ahocorasick.Automaton()
-        for key, value in patterns.items():
-            self.machine.add_word(key, value)
-        if patterns:
+                key = text[2 * i : 2 * (i + k)]
+                names = self.machine.get(key, (k, frozenset()))[1]
+                if item not in names:
+                    value = (k, names | {item})
+                    self.machine.add_word(key, values.setdefault(value, value))
+        self.empty = not values
+        if values:
             self.machine.make_automaton()
-        self.empty = not patterns
 
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, set]]:
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, frozenset]]:
         if self.empty or not words:
             return []
-        text = " " + b" ".join(words).decode("utf-8") + " "
-        hits = list(self.machine.iter(text))
-        if not hits:
-            return []
-        sizes = [len(w.decode("utf-8")) for w in words]
-        ends = np.cumsum(np.array(sizes) + 1)  # the space after each word
-        last = np.searchsorted(ends, [e for e, _ in hits])
-        return [(int(w) - k + 1, int(w), items) for w, (_, (k, items)) in zip(last, hits, strict=True)]
+        symbols = self.symbols.get
+        text = "".join([symbols(w, "\0\0") for w in words])
+        return [(end // 2 - k + 1, end // 2, items) for end, (k, items) in self.machine.iter(text)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,21 +100,100 @@ FIELDS = [
 ]
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int):
-    """The items in shards of at most ``shard_bytes``, pulled one partition at a time."""
+def _pieces(text: bytes, window: int, limit: int):
+    """``text`` if it has ``limit`` bytes at most, else runs of its words of about that size with the same windows."""
+    words = words_of(text) if len(text) > limit else []
+    if len(words) <= window:
+        yield b" ".join(words) or text
+        return
+    step = max(1, len(words) * limit // len(text))
+    for at in range(0, len(words) - window + 1, step):
+        yield b" ".join(words[at : at + step + window - 1])
+
+
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_bytes: int):
+    """The items in shards of about ``shard_bytes``, pulled one partition at a time."""
     rows = benchmark.select(F.col(quoted(item_col)).cast("string"), F.col(quoted(text_col)).cast("string"))
     rows = rows.toDF("item", "text").filter(F.col("text").isNotNull())
     shard, size = [], 0
     for item, text in rows.toLocalIterator():
-        data = text.encode("utf-8")
-        if shard and size + len(data) > shard_bytes:
-            yield shard
-            shard, size = [], 0
-        shard.append((item, data))
-        size += len(data)
+        for data in _pieces(text.encode("utf-8"), window, shard_bytes):
+            if shard and size + len(data) > shard_bytes:
+                yield shard
+                shard, size = [], 0
+            shard.append((item, data))
+            size += len(data)
     yield shard
 
 
+def _summary(found: list[tuple[int, int, frozenset]]) -> tuple[list[tuple[int, int]], list]:
+    """The merged word ranges of hits, and their items: sorted, null last."""
+    names = set().union(*[s for _, _, s in found])
+    return merged([(a, b) for a, b, _ in found]), sorted(names - {None}) + [None] * (None in names)
+
+
+def _scanner(shard, window: int):
+    """An annotator that gives FIELDS."""
+
+    def make():
+        machine = Automaton(shard.value, window)
+
+        def run(texts: pa.Array):
+            data = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+            words = [words_of(t) for t in data]
+            found = [_summary(machine.scan(w)) for w in words]
+            spans = [offsets(text.decode("utf-8"), ranges) if ranges else [] for text, (ranges, _) in zip(data, found, strict=True)]
+            return [
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([sum(b - a + 1 for a, b in ranges) for ranges, _ in found], pa.int64()),
+                pa.array([items for _, items in found], pa.list_(pa.string())),
+                pa.array(spans, _SPANS),
+            ]
+
+        return run
+
+    return make
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_RANGES = pa.list_(pa.struct([(n, pa.int32()) for n in ("a", "b", "start", "end")]))
+
+
+def _ranges_of(shard, window: int):
+    """An annotator that gives the merged ranges of hits as words and characters, and items."""
+
+    def make():
+        machine = Automaton(shard.value, window)
+
+        def run(texts: pa.Array):
+            ranges, items = [], []
+            for text in texts.cast(pa.binary()).to_pylist():
+                own, names = _summary(machine.scan(words_of(text or b"")))
+                places = offsets(text.decode("utf-8"), own) if own else []
+                ranges.append([{"a": a, "b": b, **place} for (a, b), place in zip(own, places, strict=True)])
+                items.append(names)
+            return [pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))]
+
+        return run
+
+    return make
+
+
+def _joined(batches):
+    """Rows (row, ranges, items) of several shards as (row, n_hit, items, spans)."""
+    for batch in batches:
+        n_hit, names, spans = [], [], []
+        for ranges, items in zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            first = {r["a"]: r["start"] for r in ranges}
+            last = {r["b"]: r["end"] for r in ranges}
+            own = merged([(r["a"], r["b"]) for r in ranges])
+            n_hit.append(sum(b - a + 1 for a, b in own))
+            names.append(sorted({i for i in items if i is not None}) + [None] * (None in items))
+            spans.append([{"start": first[a], "end": last[b]} for a, b in own])
+        columns = [batch.column("row"), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n_hit", "items", "spans"])
+
+
 def contamination(
     df: DataFrame,
     benchmark: DataFrame,
@@ -118,48 +208,50 @@ def contamination(
 
     A word inside any occurrence of any window counts once in ``n_hit``. Null and word-less
     texts have no words and no hits. Items without words have no windows; those without id are one
-    null at the end of items, as in the SQL. An empty
-    benchmark hits nothing. Repeated items and rows are kept as they are. Texts are taken whole;
-    other columns may have any names. The whole benchmark is broadcast, as its shards; each worker
-    holds one automaton at a time, which takes some 470 bytes for each byte of a shard's items, and
-    with several shards builds them in turn for each batch.
+    null at the end of items, as in the SQL. An empty benchmark hits nothing, and an empty table
+    gives no rows. Repeated items and rows are kept as they are. Texts are taken whole; other
+    columns may have any names.
+
+    Items of up to ``shard_bytes`` are broadcast as one automaton's patterns, some 110 bytes of
+    memory for each of theirs, and ``df`` is read once. More items are cut into shards (a longer
+    item into runs of words that overlap): ``df`` is then stored once and each shard takes a pass
+    over it, with one automaton a task and its broadcast gone after it; rows with hits are stored
+    and meet their documents by row number.
     """
+    keep = list(df.columns if keep is None else keep)
     context = df.sparkSession.sparkContext
-    shards = [context.broadcast(s) for s in _shards(benchmark, item_col, item_text_col, shard_bytes)]
-
-    def make():
-        only = Automaton(shards[0].value, window) if len(shards) == 1 else None
-
-        def run(texts: pa.Array):
-            data = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-            words = [words_of(t) for t in data]
-            hits: list[list] = [[] for _ in data]
-            for shard in shards:
-                machine = only or Automaton(shard.value, window)
-                for i, w in enumerate(words):
-                    hits[i] += machine.scan(w)
-            n_hit, items, spans = [], [], []
-            for text, found in zip(data, hits, strict=True):
-                ranges = merged([(a, b) for a, b, _ in found])
-                n_hit.append(sum(b - a + 1 for a, b in ranges))
-                names = set().union(*[s for _, _, s in found])
-                items.append(sorted(names - {None}) + [None] * (None in names))
-                spans.append(offsets(text.decode("utf-8"), ranges) if ranges else [])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return [
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array(spans, kind),
-            ]
-
-        return run
-
-    return annotate(df, text_col, make, FIELDS, keep=keep)
+    shards = _shards(benchmark, item_col, item_text_col, window, shard_bytes)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return annotate(df, text_col, _scanner(context.broadcast(first), window), FIELDS, keep=keep)
+    kept = [f"k{i}" for i in range(len(keep))]
+    columns = [F.col(quoted(c)).alias(k) for c, k in zip(keep, kept, strict=True)]
+    stored = cut(df.select(*columns, F.col(quoted(text_col)).cast("string").alias("t"), F.monotonically_increasing_id().alias("row")))
+    ranges = T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "b", "start", "end")])
+    fields = [("ranges", T.ArrayType(ranges)), ("items", T.ArrayType(T.StringType()))]
+    parts = []
+    for shard in itertools.chain((first, second), shards):
+        own = context.broadcast(shard)
+        found = annotate(stored, "t", _ranges_of(own, window), fields, keep=["row"])
+        parts.append(written(found.filter("size(ranges) > 0"), "hits"))
+        own.destroy()
+    hits = reduce(DataFrame.unionAll, parts).groupBy("row").agg(*[F.flatten(F.collect_list(n)).alias(n) for n, _ in fields])
+    hits = cut(hits.mapInArrow(_joined, T.StructType([T.StructField("row", T.LongType()), *[T.StructField(n, kind) for n, kind in FIELDS[1:]]])))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+
+    def count():
+        return lambda texts: [pa.array([len(words_of(t or b"")) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())]
+
+    rows = annotate(stored, "t", count, FIELDS[:1], keep=[*kept, "row"]).join(hits, "row", "left")
+    none = [F.coalesce(F.col(n), F.lit(0) if n == "n_hit" else F.array().cast(kind)).alias(n) for n, kind in FIELDS[1:]]
+    return rows.select(*kept, "n_words", *none).toDF(*keep, *[n for n, _ in FIELDS])
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose text holds any benchmark window; all columns are kept."""
+    """``df`` without the rows whose text holds any benchmark window; all columns are kept.
+
+    Null, empty and repeated texts, empty tables and clashing names are as in ``contamination``.
+    """
     columns = df.columns
     found = contamination(df, benchmark, text_col).toDF(*[f"c{i}" for i in range(len(columns))], *[f"_{n}" for n, _ in FIELDS])
     return found.filter("_n_hit = 0").select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)

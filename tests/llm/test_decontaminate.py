@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -55,6 +56,33 @@ def test_shards_change_nothing(spark):
     assert run(spark, DOCS, ITEMS, shard_bytes=20) == slow(DOCS, ITEMS)
 
 
+def test_shards_with_a_shuffled_meeting(spark, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    items = [*ITEMS, (None, "clean short item"), (12, " ".join(LONG.split()[5:]))]
+    docs = [(i, t) for i, (_, t) in enumerate(DOCS)]
+    got = run(spark, docs, items, shard_bytes=60)
+    assert sorted(r[:3] + r[5:] for r in got) == [r[:3] + r[5:] for r in slow(docs, items)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, d.contamination(df, bench, shard_bytes=n).collect())) for n in (1 << 20, 60))
+    assert one == many
+
+
+def test_pieces_hold_the_windows_of_their_text():
+    for n in (0, 1, 9, 10, 11, 12, 25, 57):
+        text = " ".join(f"w{i}" for i in range(n)).encode()
+        whole = {tuple(text.split()[i : i + 10]) for i in range(n - 9)}
+        for limit in (1, 20, 33, 90, 10**6):
+            parts = [p.split() for p in d._pieces(text, 10, limit)]
+            assert {tuple(p[i : i + 10]) for p in parts for i in range(len(p) - 9)} == whole
+            assert n < 10 or all(len(p) >= 10 for p in parts)
+
+
+def test_memory_of_an_automaton():
+    random.seed(3)
+    text = " ".join(random.choice(["alpha", "beta", "gamma", "epsilon"]) + str(random.randrange(9999)) for _ in range(50_000)).encode()
+    assert d.Automaton([(1, text)]).machine.get_stats()["total_size"] < 130 * len(text)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS) == []
     assert [r[1:4] for r in run(spark, DOCS[:5], [])] == [(len(words(t)), 0, 0) for _, t in DOCS[:5]]
