@@ -10,6 +10,7 @@ a verbatim copy with more than 0.99999. Containment is then checked on the words
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,42 +136,69 @@ def _window_mins(blocks: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]
     return out
 
 
+class BandIndex:
+    """The templates of one window shape by one band's min-hashes."""
+
+    def __init__(self, keys: list[tuple[int, tuple[int, ...]]]):
+        self.templates: dict[tuple[int, ...], list[int]] = {}
+        for i, key in keys:
+            self.templates.setdefault(key, []).append(i)
+        self.first = np.array(sorted({key[0] for key in self.templates}), np.uint32)
+        self.maybe = np.zeros(1 << 12, bool)
+        self.maybe[self.first >> np.uint32(20)] = True
+
+    def places(self, mins: np.ndarray) -> np.ndarray:
+        """Where the band's first min-hash is that of some template; few are compared, not looked up."""
+        if len(self.first) <= 4:
+            return np.flatnonzero(reduce(np.logical_or, [mins == key for key in self.first]))
+        at = np.flatnonzero(self.maybe[mins >> np.uint32(20)])
+        near = np.minimum(np.searchsorted(self.first, mins[at]), len(self.first) - 1)
+        return at[self.first[near] == mins[at]]
+
+
 class Scanner:
-    """Finds templates in texts, all of a batch as one stream with a gap between texts."""
+    """Finds templates in texts, all of a batch as one stream with a gap between texts.
+
+    A window is looked up once in each band's index, however many templates there are; their
+    number adds index entries, and window shapes up to those of their lengths.
+    """
 
     def __init__(self, templates: list[Template]):
         self.templates, self.hashes = templates, WordHashes()
         self.gap = max((t.k for t in templates), default=1) + max((t.stride * (t.blocks + 2) for t in templates), default=1)
+        keys: dict[tuple[int, int, int, int], list] = {}
+        for i, t in enumerate(templates):
+            for band, mins in enumerate(t.mins.tolist()):
+                keys.setdefault((t.k, band, t.stride, t.blocks), []).append((i, tuple(mins)))
+        #: For each k, band and stride: the index of each number of blocks.
+        self.index: dict[int, dict[int, dict[int, dict[int, BandIndex]]]] = {}
+        for (k, band, stride, blocks), own in sorted(keys.items()):
+            self.index.setdefault(k, {}).setdefault(band, {}).setdefault(stride, {})[blocks] = BandIndex(own)
 
     def candidates(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """First shingles of the windows that share a band with each template, by its number."""
-        found: dict[int, np.ndarray] = {}
-        for k in sorted({t.k for t in self.templates}):
+        hits: dict[int, list] = {}
+        for k, bands in self.index.items():
             shingles = shingle_hashes(words, k)
-            groups: dict[tuple[int, int], list[int]] = {}
-            for i, t in enumerate(self.templates):
-                if t.k == k and len(shingles) >= t.stride * t.blocks:
-                    groups.setdefault((t.stride, t.blocks), []).append(i)
-            hits: dict[int, list] = {}
-            for band in range(max((len(self.templates[i].mins) for m in groups.values() for i in m), default=0)):
+            for band, strides in bands.items():
                 first = permuted(shingles, band * ROWS)
-                for stride in sorted({s for s, _ in groups}):
-                    widths = {w: [i for i in m if band < len(self.templates[i].mins)] for (s, w), m in groups.items() if s == stride}
-                    widths = {w: m for w, m in widths.items() if m}
-                    if not widths:
-                        continue
+                for stride, shapes in strides.items():
+                    widths = [w for w in shapes if len(shingles) >= stride * w]
                     whole = len(first) // stride * stride
                     least = first[:whole].reshape(-1, stride).min(axis=1) if stride > 1 else first
-                    for width, mins in _window_mins(least, list(widths)).items():
-                        for i in widths[width]:
-                            want = self.templates[i].mins[band]
-                            at = np.flatnonzero(mins == want[0]) * stride
-                            for r in range(1, ROWS):  # the band's other hashes only where the first agrees
-                                own = shingles[at[:, None] + np.arange(stride * width)]
-                                at = at[permuted(own, band * ROWS + r).min(axis=1, initial=2**32 - 1) == want[r]]
-                            hits.setdefault(i, []).append(at)
-            found |= {i: np.unique(np.concatenate(parts)) for i, parts in hits.items()}
-        return found
+                    for width, mins in _window_mins(least, widths).items():
+                        index = shapes[width]
+                        at = index.places(mins)
+                        if not len(at):
+                            continue
+                        key, at = [mins[at]], at * stride
+                        own = shingles[at[:, None] + np.arange(stride * width)]
+                        key += [permuted(own, band * ROWS + r).min(axis=1) for r in range(1, ROWS)]
+                        kinds, which = np.unique(np.stack(key, axis=1), axis=0, return_inverse=True)
+                        for n, kind in enumerate(map(tuple, kinds.tolist())):
+                            for i in index.templates.get(kind, ()):
+                                hits.setdefault(i, []).append(at[which == n])
+        return {i: np.unique(np.concatenate(parts)) for i, parts in hits.items()}
 
     def __call__(self, texts: list[bytes]) -> list[list[tuple[str, float, int, int]]]:
         """(licence, containment, first word, last word) of each text, sorted."""
@@ -215,8 +243,11 @@ FOUND = T.ArrayType(
 def scan(df: DataFrame, text_col: str = "text", keep=None, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``df``'s columns ``keep``, then ``found``: the licence notices of each text.
 
-    Each has its licence, the share of the template's shingles found, and its character span.
-    Templates of under five words are one shingle. Null and word-less texts have none.
+    Each has its licence, the share of the template's shingles found, and its character span; they
+    are sorted by licence and place, and notices of one licence that touch are one.
+    Templates of under five words are one shingle. Null, empty and word-less texts have none, as
+    do all texts without templates; repeated rows stay, and an empty table gives no rows. Texts
+    are taken whole, a longer one than 1 MB alone; other columns may have any names.
     """
     texts = TEMPLATES if templates is None else templates
 

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +57,28 @@ def test_altered_templates_against_brute_force():
     assert seen > 80 and missed == 0 and wrong == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 300])
+def test_index_of_many_templates_retrieves_what_comparing_each_does(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(200)]
+    texts = {f"L{i}": [" ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 5, 9, 12, 12, 40])))] for i in range(n)}
+    scanner = licenses.Scanner(licenses.compile_templates(texts))
+    stream = []
+    for own in rng.choices(scanner.templates, k=60):
+        stream += rng.choices(vocabulary, k=rng.randrange(20)) + [w.decode() for w in own.words]
+    words = np.array([xxhash.xxh64_intdigest(w) for w in stream], np.uint64)
+    got = {i: at.tolist() for i, at in scanner.candidates(words).items()}
+    want = {}
+    for i, t in enumerate(scanner.templates):
+        shingles, size = licenses.shingle_hashes(words, t.k), t.stride * t.blocks
+        hashes = np.stack([licenses.permuted(shingles, j) for j in range(licenses.BANDS * licenses.ROWS)])
+        for first in range(0, len(shingles) - size + 1, t.stride):
+            mins = hashes[:, first : first + size].min(axis=1).reshape(licenses.BANDS, licenses.ROWS)
+            if (mins[: len(t.mins)] == t.mins).all(axis=1).any():
+                want.setdefault(i, []).append(first)
+    assert {i: at for i, at in got.items() if at} == want and len(want) >= min(n, 20)
+
+
 def test_license_odd_rows(spark):
     notice = "Released under the MIT License."
     rows = [(1, None, 1), (2, "", 1), (3, notice, 1), (3, notice, 1), (4, "é " + notice.upper() + "\n" + notice, 1), (None, "All rights reserved.", 1), (5, "word " * 60000 + notice, 1)]
