@@ -25,7 +25,8 @@ def store(df: DataFrame, text_col: str = "text", keep=None, name: str = "media")
     """``df``'s columns ``keep`` and each text's UTF-8 bytes, padded, as JPEG; null is empty.
 
     Also ``n_bytes``, the length before padding. Texts of over 1.5 MB take several images in a
-    row, so any length is stored.
+    row, so any length is stored. Equal texts have equal bytes, repeated rows stay, and an empty
+    table gives no rows. Other columns may have any names, also those of the results.
     """
 
     def make():
@@ -84,7 +85,9 @@ def features(df: DataFrame, media_col: str = "media", keep=None) -> DataFrame:
 
     A null, empty or broken column gives its ``error``, with no dimensions; other rows of its
     batch are not affected. The thumbnail's
-    digest is that of its samples, row by row; its tail is the last 16 of them.
+    digest is that of its samples, row by row; its tail is the last 16 of them. Equal columns
+    have equal features, repeated rows stay, and an empty table gives no rows. Columns are taken
+    whole; others may have any names, also those of FEATURES.
     """
     keep = list(df.columns if keep is None else keep)
     inner = df.select(F.col(quoted(media_col)).alias("m"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)])

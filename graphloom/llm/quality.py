@@ -66,7 +66,7 @@ def structure(data: bytes, words: list[bytes], counts: Counter) -> list[float]:
 
 
 class Featurizer:
-    """Bucket numbers and values of each text: term frequencies scaled to unit length."""
+    """Bucket numbers, each once, and values of each text: term frequencies scaled to unit length."""
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets, self.known = buckets, {}
@@ -74,14 +74,14 @@ class Featurizer:
     def words(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > 1 << 18:
             self.known.clear()
-        known, out = self.known, []
-        for w in counts:
+        known, sums = self.known, {}
+        for w, n in counts.items():
             b = known.get(w)
             if b is None:
                 b = known[w] = zlib.crc32(w.lower().strip(_EDGES)) % self.buckets
-            out.append(b)
-        index = np.array(out, dtype=np.int32)
-        value = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
+            sums[b] = sums.get(b, 0) + n
+        index = np.fromiter(sums, np.int32, len(sums))
+        value = np.log1p(np.fromiter(sums.values(), np.float32, len(sums)))
         return index, value / max(float(np.sqrt((value * value).sum())), 1e-9)
 
     def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -169,13 +169,16 @@ def held_out(id_col) -> F.Column:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` labelled rows that are not held out.
 
-    The sample is that of the least hashes of (id, label), the same at every run. Features are
-    made where the texts are; the driver gets at most ``max_train`` sparse rows.
+    The sample is that of the least hashes of (id, label), then of the text, the same at every run.
+    Features are made where the texts are; the driver gets at most ``max_train`` sparse rows, also
+    where ids repeat. Labels other than 0 and 1 and rows without label or id are not learned from;
+    a null text is an empty one. Without rows, or with one class, the model is a constant. Other columns
+    may have any names.
     """
     rows = labels.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(label_col)).cast("int").alias("y"))
     rows = rows.filter(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).orderBy(F.xxhash64("k", "y"), "k", "y").limit(max_train)
     texts = df.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(text_col)).cast("string").alias("t"))
-    chosen = texts.join(F.broadcast(rows), "k")  # max_train rows of two numbers
+    chosen = texts.join(F.broadcast(rows), "k").withColumn("h", F.xxhash64("t"))  # max_train rows of two numbers
 
     def make():
         featurize = Featurizer()
@@ -191,16 +194,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return run
 
     fields = [("i", T.ArrayType(T.IntegerType())), ("v", T.ArrayType(T.FloatType())), ("s", T.ArrayType(T.DoubleType()))]
-    found = annotate(chosen, "t", make, fields, keep=["k", "y"]).toArrow()
-    found = found.combine_chunks().sort_by([("k", "ascending"), ("y", "ascending")]) if found.num_rows else found
+    found = annotate(chosen, "t", make, fields, keep=["k", "y", "h"])
+    found = found.orderBy(F.xxhash64("k", "y"), "k", "y", "h").limit(max_train).toArrow()
+    found = found.combine_chunks().sort_by([(c, "ascending") for c in ("k", "y", "h")]) if found.num_rows else found
     got = [found.column(c).to_pylist() for c in ("i", "v", "s")]
     parsed = [(np.array(i, np.int32), np.array(v, np.float32), s) for i, v, s in zip(*got, strict=True)]
-    return fit(parsed[:max_train], found.column("y").to_pylist()[:max_train])
+    return fit(parsed, found.column("y").to_pylist())
 
 
 def scores(df: DataFrame, model: Model, text_col: str = "text", keep=None, name: str = "score") -> DataFrame:
     """``df``'s columns ``keep`` and a score from 0 to 1 for each row; null scores as empty text.
 
+    Equal texts score alike, repeated rows stay, and an empty table gives no rows. Texts are taken
+    whole; other columns may have any names, also that of the score.
     The model is broadcast: ``(buckets + 16) * (factors + 1)`` numbers whatever the input.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -220,7 +226,11 @@ def scores(df: DataFrame, model: Model, text_col: str = "text", keep=None, name:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` without the rows that score under ``threshold``; all columns are kept."""
+    """``df`` without the rows that score under ``threshold``; all columns are kept.
+
+    A score equal to it stays. Null, empty and repeated texts, empty tables and clashing names are
+    as in ``scores``.
+    """
     columns = df.columns
     found = scores(df, train(df, labels, id_col, text_col), text_col).toDF(*[f"c{i}" for i in range(len(columns))], "s")
     return found.filter(F.col("s") >= threshold).drop("s").toDF(*columns)

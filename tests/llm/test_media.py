@@ -136,6 +136,14 @@ def test_media_query(spark):
     assert media.features(media.store(clash), keep=["width"]).count() == len(docs)
 
 
+def test_media_columns_with_any_names(spark):
+    df = spark.createDataFrame([(1, None, "a", b"b"), (1, None, "a", b"b"), (2, "", "c", None)], "m long, t string, media_sha256 string, error binary")
+    stored = media.store(df, "t", name="k0")
+    out = media.features(stored, "k0", keep=["m", "t", "media_sha256", "error"])
+    assert out.columns[:4] == df.columns and sorted(map(str, (r[:4] for r in out.collect()))) == sorted(map(str, (tuple(r) for r in df.collect())))
+    assert len({tuple(r[4:]) for r in out.collect()}) == 1  # null and empty are stored alike
+
+
 def test_average_hash():
     assert jpeg.average_hash(np.zeros((1, 1), np.uint8)) == "0" * 16
     half = np.zeros((16, 16), np.uint8)

@@ -52,6 +52,74 @@ def test_quality_odd_tables(spark):
     assert quality.train(empty, labels.limit(0)).score([]).size == 0
 
 
+def dense(model, data):
+    """Inputs of a text by loops: log frequencies of buckets scaled to length 1, then scaled statistics."""
+    words = data.split()
+    sums = Counter(zlib.crc32(w.lower().strip(quality._EDGES)) % model.buckets for w in words)
+    x = np.zeros(model.buckets + len(quality.STATS))
+    for b, n in sums.items():
+        x[b] = math.log1p(n)
+    x /= max(math.sqrt((x * x).sum()), 1e-9)
+    stats = np.array(quality.structure(data, words, Counter(words)))
+    x[model.buckets :] = np.clip((stats - model.mean) / model.scale, -4, 4) / math.sqrt(len(stats))
+    return x
+
+
+def by_pairs(bias, weight, factor, x):
+    used = np.flatnonzero(x)
+    pairs = (factor[used] @ factor[used].T) * np.outer(x[used], x[used])
+    return bias + weight @ x + np.triu(pairs, 1).sum()
+
+
+def test_quality_query_against_every_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.op2_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = by_pairs(model.bias, model.weight.astype(float), model.factor.astype(float), dense(model, (r.text or "").encode()))
+        want = 1 / (1 + math.exp(-raw))
+        assert math.isclose(got[r.doc_id].score, want, rel_tol=1e-3, abs_tol=1e-5)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
+def test_quality_step_against_numeric_gradient():
+    texts, labels, buckets, factors = [b"Good words here.", b"bad bad!! | | bad", b"good, words again\nhere", b"bad | x"], np.array([1, 0, 1, 0]), 16, 3
+    featurize = quality.Featurizer(buckets)
+    rows = [featurize(t) for t in texts]
+    model = quality.fit(rows, labels, buckets, factors, epochs=1)
+    n = buckets + len(quality.STATS)
+    start = np.concatenate(([math.log(3 / 3)], np.zeros(n), np.random.default_rng(7).normal(0, 0.05, (n, factors)).ravel()))
+    x = np.array([dense(model, t) for t in texts])
+
+    def loss(p):
+        raw = np.array([by_pairs(p[0], p[1 : n + 1], p[n + 1 :].reshape(n, factors), own) for own in x])
+        return np.mean(np.log1p(np.exp(-np.where(labels == 1, raw, -raw))))
+
+    seen = np.zeros(n)
+    for i, _, _ in rows:
+        seen[i] = 1
+    seen[buckets:] = 1
+    decay = 2e-5 * start * np.concatenate(([0], seen, np.repeat(seen, factors)))
+    step = np.eye(len(start)) * 1e-5
+    g = np.array([(loss(start + h) - loss(start - h)) / 2e-5 for h in step]) + decay
+    want = start - 0.1 * g / np.sqrt(g * g + 1e-6)
+    got = np.concatenate(([model.bias], model.weight, model.factor.ravel()))
+    assert np.allclose(got, want, atol=2e-4)
+
+
+def test_quality_learns_from_a_bounded_sample_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 7, f"text {i} of id {i % 7}", i) for i in range(700)], "doc_id long, text string, h int").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: taken.append((len(rows), y, [r[2] for r in rows])))
+    quality.train(docs, labels, max_train=30)
+    quality.train(docs.repartition(3), labels, max_train=30)
+    assert taken[0] == taken[1] and taken[0][0] == len(taken[0][1]) == 30
+
+
 def test_quality_ignores_other_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
