@@ -53,6 +53,48 @@ def test_pipeline_query(spark):
     assert "pipeline" not in entry.oracle_sql()
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["s", "n_hit", "fp", "base", "piece", "row", "t", "k0"]
+
+
+def folder(spark, path, docs, items, labels):
+    docs = spark.createDataFrame(docs, DOCS).select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASH)])
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs.columns
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    folder(spark, tmp_path, [], [], [])
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() == 0 and {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(packed.columns)
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    item = "which of these ten words in a row are part of the test"
+    rows = [
+        (1, "a plain text of its own about rivers and hills", "en"), (1, "a plain text of its own about rivers and hills", "en"), (None, None, None), (3, "", ""),
+        (None, "this row has no id and yet a text that nobody else has", None), (5, f"we ask {item.upper()} today", "en"), (6, "mail ann@corp.example now please", "en"),
+        (7, "  A plain TEXT of its own about rivers and hills ", "en"), (8, "long words " * 30000 + "the end", "en"), (9, " " * 300_000 + "wide", None),
+    ]
+    docs = [(i, t, lang, None, len(t) if t else None) for i, t, lang in rows]
+    columns = folder(spark, tmp_path, docs, [(None, None), (2, item), (2, item), (4, "")], [(1, 1, 0), (99, None, None)])
+    stages, kept = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name in list(stages)[:-1]:
+        kept = corpus_pipeline.written(stages[name](spark, kept, str(tmp_path)), name)
+        assert kept.columns == columns
+    # One class of labels makes a constant score, which keeps all; blank texts are one group.
+    got = {(r.doc_id, r.text) for r in kept.collect()}
+    want = {(r[0], r[1]) for r in docs if r[0] not in (5, 6, 7, 9)} - {(None, None)} | {(6, "mail [EMAIL] now please"), (9, docs[-1][1])}
+    assert got == want and kept.count() == len(want)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in want} and all(0 < r.length <= 1024 for r in packed)
+    longest = sorted((r.piece, r.start, r.length) for r in packed if r.doc_id == 8)
+    assert [p for p, _, _ in longest] == list(range(len(longest))) and sum(n for _, _, n in longest) > 60_000
+    assert all(a + n == b for (_, a, n), (_, b, _) in zip(longest, longest[1:]))
+
+
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "dedup", "decontaminate", "personal_data", "packing"]
